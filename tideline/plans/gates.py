@@ -1 +1,188 @@
-"""To come."""
+"""Quality checks as reports over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.operators import quality
+from tideline.operators.variation import lag_variation, rolling_weekday_baseline
+from tideline.plans import sql as q
+from tideline.plans.registry import query
+from tideline.plans.tables import METRICS, campaign_windows, read, sales, shipments
+from tideline.plans.windows import WINDOWS
+
+
+@query(
+    f"""
+    SELECT count(*) AS rows,
+           count(*) FILTER (WHERE previous_day IS NULL OR quantity_previous IS NULL) AS null_rows,
+           count(*) FILTER (WHERE previous_day IS NULL) AS null_previous_day,
+           count(*) FILTER (WHERE quantity_previous IS NULL) AS null_quantity_previous
+    FROM ({q.yearly(q.shipments())})"""
+)
+def gate_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    yearly = lag_variation(shipments(spark, sf_dir), METRICS)
+    return quality.null_report(yearly, ["previous_day", "quantity_previous"])
+
+
+def _duplicates_sql(table: str, key: str) -> str:
+    return f"""
+    SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_keys,
+           count(*) FILTER (WHERE n > 1) AS repeated_keys,
+           CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
+    FROM (SELECT count(*) AS n FROM {table} GROUP BY {key})"""
+
+
+@query(_duplicates_sql("lineitem", "l_orderkey, l_linenumber"))
+def gate_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicate_report(
+        read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
+    )
+
+
+@query(_duplicates_sql(f"({WINDOWS})", "start_day, kind"))
+def gate_duplicate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicate_report(campaign_windows(spark, sf_dir), ["start_day", "kind"])
+
+
+def _gaps_sql(source: str, keys: str = "") -> str:
+    return f"""
+    SELECT count(*) AS series, CAST(sum(n) AS BIGINT) AS rows,
+           CAST(sum(d) AS BIGINT) AS days_in_span,
+           count(*) FILTER (WHERE n <> d) AS series_with_gaps,
+           count(*) FILTER (WHERE n <> d) = 0 AS contiguous
+    FROM (SELECT count(*) AS n, max(day) - min(day) + 1 AS d FROM ({source}) {keys})"""
+
+
+@query(_gaps_sql(q.sales()))
+def gate_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.gap_report(sales(spark, sf_dir))
+
+
+@query(_gaps_sql(q.shipments(["l_suppkey"]), "GROUP BY l_suppkey"))
+def gate_gaps_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["l_suppkey"]
+    return quality.gap_report(shipments(spark, sf_dir, keys), keys=keys)
+
+
+@query(
+    """
+    SELECT count(*) AS rows,
+           count(*) FILTER (WHERE o_orderdate::DATE > l_shipdate::DATE) AS inverted
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
+)
+def gate_interval_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders shipped before they were placed."""
+    ordered = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("a")
+    )
+    shipped = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_shipdate").cast("date").alias("b")
+    )
+    return quality.interval_report(ordered.join(shipped, "l_orderkey"), "a", "b")
+
+
+@query(
+    """
+    SELECT count(*) AS rows,
+           count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup'))
+             AS unknown_values
+    FROM events"""
+)
+def gate_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.vocabulary_report(
+        read(spark, sf_dir, "events"), "event_type", ["click", "view", "purchase", "signup"]
+    )
+
+
+@query(
+    """
+    SELECT count(*) AS rows, count(*) > 0 AS non_empty, count(*) >= 10000 AS maybe_truncated
+    FROM events"""
+)
+def gate_non_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.size_report(read(spark, sf_dir, "events"), cap=10_000)
+
+
+@query(
+    f"""
+    SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS null_rows,
+           CAST(0 AS BIGINT) AS duplicate_rows,
+           count(*) FILTER (WHERE n <> d) AS series_with_gaps,
+           min(first) AS first_day, max(last) AS last_day
+    FROM (SELECT count(*) AS n, max(day) - min(day) + 1 AS d, min(day) AS first,
+                 max(day) AS last
+          FROM ({q.sales(['o_orderpriority'])}) GROUP BY o_orderpriority)"""
+)
+def gate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of a daily series in one pass."""
+    keys = ["o_orderpriority"]
+    return quality.series_report(sales(spark, sf_dir, keys), keys=keys)
+
+
+@query(
+    f"""
+    SELECT count(*) AS rows, CAST(0 AS BIGINT) AS null_rows,
+           count(*) FILTER (WHERE start_day > end_day) AS inverted,
+           count(*) FILTER (WHERE kind NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))
+             AS unknown_values,
+           count(*) - count(DISTINCT (start_day, kind)) AS duplicate_rows
+    FROM ({WINDOWS})"""
+)
+def gate_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of a window calendar in one pass, against too small a vocabulary."""
+    return quality.calendar_report(
+        campaign_windows(spark, sf_dir),
+        ["1-URGENT", "2-HIGH", "3-MEDIUM"],
+        ["start_day", "end_day", "kind", "source"],
+    )
+
+
+@query(
+    f"""
+    SELECT (SELECT count(*) FROM ({q.shipments(['l_returnflag'])})) AS source_rows,
+           count(*) AS view_rows,
+           count(*) FILTER (WHERE base_weeks < 4) AS incomplete_bases,
+           count(*) FILTER (WHERE base_weeks = 4 AND quantity_pct IS NULL) AS unexpected_nulls
+    FROM ({q.baseline(q.shipments(['l_returnflag']), ['l_returnflag'])})"""
+)
+def baseline_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["l_returnflag"]
+    source = shipments(spark, sf_dir, keys)
+    view = rolling_weekday_baseline(source, METRICS, keys)
+    return quality.baseline_integrity(source, view, "quantity")
+
+
+def _lag_integrity_sql(days: int, source: str) -> str:
+    return f"""
+    SELECT (SELECT count(*) FROM ({source})) AS source_rows, count(*) AS view_rows,
+           count(*) FILTER (WHERE previous_day IS NULL) AS without_partner,
+           count(*) FILTER (WHERE previous_day IS NOT NULL
+                              AND dayofweek(day) <> dayofweek(previous_day))
+             AS weekday_mismatches
+    FROM ({q.yearly(source, days=days)})"""
+
+
+@query(_lag_integrity_sql(364, q.shipments()))
+def yoy_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = shipments(spark, sf_dir)
+    return quality.lag_integrity(source, lag_variation(source, METRICS))
+
+
+@query(_lag_integrity_sql(365, q.sales()))
+def same_date_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """365 days shift the weekday: every pair is a mismatch."""
+    source = sales(spark, sf_dir)
+    return quality.lag_integrity(source, lag_variation(source, METRICS, days=365))
+
+
+@query(
+    """
+    SELECT count(*) AS rows, min(l_shipdate::DATE) AS first_day, max(l_shipdate::DATE) AS last_day,
+           count(*) - count(DISTINCT l_shipdate::DATE) AS duplicates
+    FROM lineitem"""
+)
+def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("day"))
+    return quality.table_profile(rows)

@@ -121,9 +121,25 @@ def hundredths(decimal: str) -> str:
     return f"CAST(({decimal}) * 100 AS HUGEINT)"
 
 
+def interpolated(metric: str, p: float) -> str:
+    """Exact percentile, weighted between its two neighbours in double arithmetic.
+
+    ``quantile_cont`` adds a fraction of the difference to the lower neighbour
+    instead, which lands on the other side of some half-cent ties.
+    """
+    values = f"list_sort(list(({metric})::DOUBLE) FILTER (WHERE {metric} IS NOT NULL))"
+    at = f"((count({metric}) - 1) * {p}::DOUBLE)"
+    low, high = f"floor({at})", f"ceil({at})"
+    return (
+        f"CASE WHEN {low} = {high} THEN {values}[{low}::BIGINT + 1] "
+        f"ELSE ({high} - {at}) * {values}[{low}::BIGINT + 1] "
+        f"+ ({at} - {low}) * {values}[{high}::BIGINT + 1] END"
+    )
+
+
 def percentiles(metric: str) -> str:
     return ", ".join(
-        f"{from_double(f'quantile_cont(({metric})::DOUBLE, {p})')} AS {name}"
+        f"{from_double(interpolated(metric, p))} AS {name}"
         for p, name in ((0.5, "median_pct"), (0.05, "p05_pct"), (0.95, "p95_pct"))
     )
 
