@@ -13,6 +13,7 @@ from tideline.functions.numbers import (
     MONEY,
     PERCENT,
     SHARE,
+    cents_sum,
     count_where,
     mean_as,
     money_sum,
@@ -25,6 +26,7 @@ __all__ = [
     "MONEY",
     "PERCENT",
     "SHARE",
+    "cents_sum",
     "count_where",
     "days_to_month_end",
     "is_weekend",

@@ -19,6 +19,22 @@ def money_sum(amount: Column | str) -> Column:
     return F.sum(value.cast(MONEY)).cast(MONEY)
 
 
+def cents_sum(amount: Column | str) -> Column:
+    """``money_sum`` for amounts stored as doubles, at a fraction of its cost.
+
+    Casting a double to a decimal goes through its text form. A double that is
+    a whole number of cents, as nearly all are, can be counted in cents instead;
+    any other value still takes the cast, so the sums are the same.
+    """
+    value = F.col(amount) if isinstance(amount, str) else amount
+    scaled = value * F.lit(100.0)
+    whole = F.rint(scaled)
+    safe = (F.abs(scaled - whole) < 1e-6) & (F.abs(whole) < 1e15)
+    slow = (value.cast(MONEY) * 100).cast("bigint")
+    cents = F.sum(F.when(safe, whole.cast("bigint")).otherwise(slow))
+    return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
+
+
 def mean_as(value: Column | str, kind: str = MONEY, over: WindowSpec | None = None) -> Column:
     """Average rounded half-up to ``kind``, as an aggregate or over a window."""
     mean = F.avg(value)

@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.numbers import MONEY, count_where, money_sum
+from tideline.functions.numbers import MONEY, cents_sum, count_where
 from tideline.operators.merge import merge_report, merge_rows
 from tideline.operators.series import daily_series, with_calendar
 from tideline.plans import sql as q
@@ -26,7 +26,13 @@ from tideline.sources.contracts import (
     TableContract,
 )
 from tideline.sources.seeds import read_window_seed
-from tideline.sources.tables import publish_version, read_current, read_daily, upsert_daily, write_daily
+from tideline.sources.tables import (
+    publish_version,
+    read_current,
+    read_daily,
+    upsert_daily,
+    write_daily,
+)
 
 # Raw fields are named as in the public snapshots; amounts are in thousands.
 LAYOUT = EnvelopeLayout(
@@ -54,7 +60,7 @@ def raw_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
             "Quantidade": F.count(F.lit(1)),
             "open": count_where(F.col("l_linestatus") == "O"),
             "full": count_where(F.col("l_linestatus") == "F"),
-            "amount": money_sum("l_extendedprice"),
+            "amount": cents_sum("l_extendedprice"),
         },
     )
     reported = F.col("day") >= F.lit(CHANNELS_SINCE)

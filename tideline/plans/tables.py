@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.numbers import money_sum
+from tideline.functions.numbers import cents_sum
 from tideline.operators.series import daily_series
 
 METRICS = ("quantity", "value")
@@ -30,36 +30,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shipments(spark: SparkSession, sf_dir: str, keys: Sequence[str] = ()) -> DataFrame:
     """Line items per ship day: how many, and for how much."""
-    metrics = {"quantity": F.count(F.lit(1)), "value": money_sum("l_extendedprice")}
+    metrics = {"quantity": F.count(F.lit(1)), "value": cents_sum("l_extendedprice")}
     return daily_series(read(spark, sf_dir, "lineitem"), "l_shipdate", metrics, keys)
 
 
 def sales(spark: SparkSession, sf_dir: str, keys: Sequence[str] = ()) -> DataFrame:
     """Orders per order day: how many, and for how much."""
-    metrics = {"quantity": F.count(F.lit(1)), "value": money_sum("o_totalprice")}
+    metrics = {"quantity": F.count(F.lit(1)), "value": cents_sum("o_totalprice")}
     return daily_series(read(spark, sf_dir, "orders"), "o_orderdate", metrics, keys)
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per type and day."""
-    metrics = {"quantity": F.count(F.lit(1)), "value": money_sum("value")}
+    metrics = {"quantity": F.count(F.lit(1)), "value": cents_sum("value")}
     return daily_series(read(spark, sf_dir, "events"), "ts", metrics, ["event_type"])
 
 
 def campaign_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event windows found in the orders: per priority and month, the week that
-    starts with the month's largest order (the highest key decides a tie)."""
-    month = F.trunc("o_orderdate", "month").alias("month")
-    largest = F.max(F.struct("o_totalprice", "o_orderkey", "o_orderdate"))
+    starts on the month's best day of sales (the later day decides a tie).
+
+    The orders are rolled up to days first; picking the best day then works on
+    at most 31 rows per priority and month.
+    """
+    best = F.max(F.struct("value", "day", "quantity"))
     return (
-        read(spark, sf_dir, "orders")
-        .groupBy(F.col("o_orderpriority").alias("kind"), month)
-        .agg(largest.alias("top"))
+        sales(spark, sf_dir, ["o_orderpriority"])
+        .groupBy(F.col("o_orderpriority").alias("kind"), F.trunc("day", "month").alias("month"))
+        .agg(best.alias("best"))
         .select(
-            F.col("top.o_orderdate").cast("date").alias("start_day"),
-            F.date_add(F.col("top.o_orderdate").cast("date"), 6).alias("end_day"),
+            F.col("best.day").alias("start_day"),
+            F.date_add("best.day", 6).alias("end_day"),
             "kind",
-            F.col("top.o_orderkey").cast("string").alias("source"),
+            F.concat(F.col("best.quantity").cast("string"), F.lit(" orders")).alias("source"),
         )
     )
 

@@ -18,13 +18,12 @@ from tideline.plans import sql as q
 from tideline.plans.registry import query
 from tideline.plans.tables import SERIES_SPAN, campaign_windows, shipments
 
-WINDOWS = """
-    SELECT start_day, start_day + 6 AS end_day, kind, source FROM (
-      SELECT CAST(o_orderdate AS DATE) AS start_day, o_orderpriority AS kind,
-             CAST(o_orderkey AS VARCHAR) AS source,
-             row_number() OVER (PARTITION BY o_orderpriority, date_trunc('month', o_orderdate)
-                                ORDER BY o_totalprice DESC, o_orderkey DESC) AS r
-      FROM orders) WHERE r = 1"""
+WINDOWS = f"""
+    SELECT day AS start_day, day + 6 AS end_day, o_orderpriority AS kind,
+           quantity || ' orders' AS source
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, date_trunc('month', day)
+                                       ORDER BY cents DESC, day DESC) AS r
+          FROM ({q.sales(['o_orderpriority'])})) WHERE r = 1"""
 
 
 def days_sql(where: str) -> str:

@@ -14,6 +14,7 @@ from tideline.session import scratch_path
 from tideline.sources import files
 
 VERSION_PREFIX = "version"
+MONTH_LIST = 2_400  # two centuries
 
 
 def publish_version(df: DataFrame, directory: str, stamp: str | None = None) -> str:
@@ -56,6 +57,15 @@ def read_daily(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(T.StructType([*schema.fields]).add("month", "string")).parquet(path)
 
 
+def _in_months(df: DataFrame, months: DataFrame) -> DataFrame:
+    # A literal list prunes directories whatever the planner thinks of the batch.
+    # Months are few by nature; should they not be, a join takes over.
+    found = [row["month"] for row in months.limit(MONTH_LIST + 1).collect()]
+    if len(found) <= MONTH_LIST:
+        return df.filter(F.col("month").isin(*found))
+    return df.join(months, "month", "left_semi").select(*df.columns)
+
+
 def upsert_daily(
     spark: SparkSession,
     batch: DataFrame,
@@ -67,35 +77,38 @@ def upsert_daily(
     """Upsert a batch into a table written by ``write_daily``; returns rows per action.
 
     Only months the batch touches are read, and of those only months with an
-    insert or an update are rewritten; everything else stays as it is. The
-    merged months are first written to the shared folder: the report and the
-    rewrite read that copy, so neither depends on files the rewrite replaces,
-    and a lost executor costs a task, not the result. Running the same batch
-    again finishes a rewrite that was cut short.
+    insert or an update are rewritten; everything else stays as it is.
+
+    The batch is computed once and written to the shared folder, and so are the
+    merged months. Checks, report and rewrite read those copies: none of them
+    depends on files the rewrite replaces, and a lost executor costs a task, not
+    the result. Running the same batch again finishes a rewrite cut short.
     """
+    rows = batch.schema
+    batch_path = scratch_path(spark, "batch")
+    batch.withColumn("month", F.date_format(day, "yyyy-MM")).write.parquet(batch_path)
+    batch = read_daily(spark, batch_path, rows)
     require(duplicate_report(batch, keys))
     if not files.exists(spark, path):
-        write_daily(batch, path, day)
+        write_daily(batch.drop("month"), path, day)
         return batch.agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(INSERT).alias("action"), "rows"
         )
-    stored = read_daily(spark, path, batch.schema)
-    batch = batch.withColumn("month", F.date_format(day, "yyyy-MM"))
-    months = batch.select("month").distinct()
-    touched = stored.join(months, "month", "left_semi").select(*stored.columns)
 
-    staged_path = scratch_path(spark, "upsert")
+    touched = _in_months(read_daily(spark, path, rows), batch.select("month").distinct())
     merged = merge_rows(touched, batch, keys, compare)
-    merged.write.mode("errorifexists").parquet(staged_path)
-
-    staged = spark.read.schema(merged.schema).parquet(staged_path)
-    changed = staged.filter(F.col("action").isin(INSERT, UPDATE)).select("month").distinct()
-    rewritten = staged.join(changed, "month", "left_semi").select(*stored.columns)
-    (
-        rewritten.hint("rebalance", "month")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )
-    return merge_report(staged)
+    merged_path = scratch_path(spark, "merged")
+    merged.write.parquet(merged_path)
+    merged = spark.read.schema(merged.schema).parquet(merged_path)
+
+    news = merged.filter(F.col("action").isin(INSERT, UPDATE)).select("month").distinct()
+    if not news.isEmpty():
+        (
+            _in_months(merged.drop("action"), news)
+            .hint("rebalance", "month")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("month")
+            .parquet(path)
+        )
+    return merge_report(merged)
