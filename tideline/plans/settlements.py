@@ -158,10 +158,10 @@ def yearly_view(daily: DataFrame) -> DataFrame:
     return _named(lag_variation(daily, METRICS, day=DAY), YEARLY_NAMES)
 
 
-def register_views(daily: DataFrame) -> None:
-    """Make the views available to SQL in the session."""
-    weekly_view(daily).createOrReplaceTempView("variacao_vs_semanas_anteriores")
-    yearly_view(daily).createOrReplaceTempView("variacao_yoy")
+def register_views(daily: DataFrame, weekly_name: str, yearly_name: str) -> None:
+    """Make both views available to SQL in the session, under names of choice."""
+    weekly_view(daily).createOrReplaceTempView(weekly_name)
+    yearly_view(daily).createOrReplaceTempView(yearly_name)
 
 
 def weekly_integrity(daily: DataFrame) -> DataFrame:
