@@ -60,5 +60,5 @@ def test_period_reaches_the_scan(spark, sf_dir):
 
 
 def test_history_reaches_the_scan(spark, sf_dir):
-    text = plan(all_queries()["position_of_targets_yoy"](spark, sf_dir))
+    text = plan(all_queries()["position_in_history_yoy"](spark, sf_dir))
     assert "GreaterThanOrEqual(l_shipdate,1998-07-01" in text

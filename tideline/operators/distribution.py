@@ -107,7 +107,8 @@ def position_in_history(
     each window label the result holds ``days_<label>`` and
     ``pct_at_or_below_<label>``. A NULL on either side counts as not worse; a
     target without any comparable day is left out. ``history`` narrows the past
-    days further.
+    days further. Name the keys of a keyed series: a ranked group is then one
+    weekday of one series.
     """
     df = with_weekday(df, day) if "weekday" in strata else df
     is_target = within(day, targets)

@@ -61,7 +61,8 @@ def densify(
     """Insert a row for every missing day of each series.
 
     Each row emits itself and the empty days up to the next row, so one window
-    pass replaces a join against a date spine. Without ``start``/``end`` each
+    pass over each series replaces a join against a date spine; a series has at
+    most one row per calendar day. Without ``start``/``end`` each
     series keeps its own first and last day. Inserted rows carry ``fill``
     values, NULL elsewhere, and ``inserted = true``.
     """

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tideline.functions.numbers import MONEY, cents_sum, count_where
 from tideline.operators.merge import merge_report, merge_rows
 from tideline.operators.series import daily_series, with_calendar
+from tideline.plans import settlements
 from tideline.plans import sql as q
 from tideline.plans.registry import query
 from tideline.plans.tables import campaign_windows, read, shipments
@@ -130,6 +131,104 @@ def snapshot_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.snapshot_profile(raw, LAYOUT, cap=2000)
 
 
+DECLARED = TableContract(
+    columns=(
+        Column("day", "date", required=True, comment="ship day, unique"),
+        Column("quantity", "int", comment="line items shipped"),
+        Column("value", "decimal(20,4)", comment="their price"),
+        Column("weekday", "string"),
+    ),
+    key=("day",),
+)
+
+
+@query(
+    f"""SELECT day, CAST(quantity AS INTEGER) AS quantity, CAST(value AS DECIMAL(20,4)) AS value,
+               CAST(weekday AS VARCHAR) AS weekday FROM ({q.shipments()})"""
+)
+def declared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared columns only, in the declared order and types."""
+    return DECLARED.conform(with_calendar(shipments(spark, sf_dir)))
+
+
+TYPED_SQL = f"""
+    SELECT day AS data, "Quantidade" AS quantidade,
+           "CanalPrimario" AS quantidade_canal_primario,
+           "CanalSecundario" AS quantidade_canal_secundario,
+           {q.money('total * 1000')} AS valor_reais, {q.money('mean')} AS valor_medio_reais,
+           CAST(year(day) AS INTEGER) AS ano, CAST(month(day) AS INTEGER) AS mes,
+           CAST(day(day) AS INTEGER) AS dia_do_mes, CAST(isodow(day) AS INTEGER) AS dia_da_semana,
+           ['segunda', 'terca', 'quarta', 'quinta', 'sexta', 'sabado', 'domingo'][isodow(day)]
+             AS nome_dia_da_semana,
+           isodow(day) >= 6 AS fim_de_semana
+    FROM ({RAW_SQL})"""
+
+
+@query(TYPED_SQL)
+def settlement_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest of two snapshots under the study's own column names."""
+    directory = landed_twice(spark, sf_dir)
+    newest = snapshots.latest_snapshot(spark, directory, "shipments")
+    return settlements.typed_daily(
+        snapshots.scan_snapshots(spark, newest, settlements.SETTLEMENT_ENVELOPE)
+    )
+
+
+# The same figures under the names the general statements use.
+SETTLED = f"""
+    SELECT data AS day, quantidade AS quantity, valor_reais AS value,
+           CAST(valor_reais * 100 AS HUGEINT) AS cents, dia_da_semana AS weekday,
+           nome_dia_da_semana
+    FROM ({TYPED_SQL})"""
+WEEKLY_SQL = f"""
+    SELECT day AS data, weekday AS dia_da_semana, nome_dia_da_semana, quantity AS quantidade,
+           quantity_mean AS media_quantidade_4_semanas, quantity_pct AS variacao_quantidade_pct,
+           value AS valor_reais, value_mean AS media_valor_reais_4_semanas,
+           value_pct AS variacao_valor_reais_pct, base_weeks AS semanas_na_base
+    FROM ({q.baseline(SETTLED)})"""
+YEARLY_SQL = f"""
+    SELECT day AS data, weekday AS dia_da_semana, nome_dia_da_semana, quantity AS quantidade,
+           previous_day AS data_ano_anterior, quantity_previous AS quantidade_ano_anterior,
+           quantity_yoy_pct AS variacao_yoy_quantidade_pct, value AS valor_reais,
+           value_previous AS valor_reais_ano_anterior,
+           value_yoy_pct AS variacao_yoy_valor_reais_pct
+    FROM ({q.yearly(SETTLED)})"""
+
+
+def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settlements.typed_daily(raw_extraction(spark, sf_dir))
+
+
+@query(WEEKLY_SQL)
+def settlement_weekly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settlements.weekly_view(settled(spark, sf_dir))
+
+
+@query(YEARLY_SQL)
+def settlement_yearly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settlements.yearly_view(settled(spark, sf_dir))
+
+
+@query(
+    f"""
+    SELECT y.data, y.nome_dia_da_semana, w.variacao_quantidade_pct,
+           y.variacao_yoy_quantidade_pct
+    FROM ({YEARLY_SQL}) y JOIN ({WEEKLY_SQL}) w USING (data)
+    WHERE w.variacao_quantidade_pct <= -10 AND y.variacao_yoy_quantidade_pct <= -10"""
+)
+def settlement_views_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views registered by name and joined in SQL: days down by both methods."""
+    weekly, yearly = "settlement_weekly", "settlement_yearly"
+    settlements.register_views(settled(spark, sf_dir), weekly, yearly)
+    return spark.sql(
+        f"""
+        SELECT y.data, y.nome_dia_da_semana, w.variacao_quantidade_pct,
+               y.variacao_yoy_quantidade_pct
+        FROM {yearly} AS y JOIN {weekly} AS w USING (data)
+        WHERE w.variacao_quantidade_pct <= -10 AND y.variacao_yoy_quantidade_pct <= -10"""
+    )
+
+
 STORED_UNTIL, BATCH_FROM = date(2001, 1, 1), date(2000, 7, 1)
 KEYS, COMPARED = ["l_returnflag", "day"], ["quantity", "value"]
 

@@ -84,6 +84,25 @@ def distribution_by_supplier_year(spark: SparkSession, sf_dir: str) -> DataFrame
     return distribution(series, "value_pct", [year], keys, through=EVENT_DAY)
 
 
+SUPPLIERS_SQL = q.baseline(q.shipments(["l_suppkey"]), ["l_suppkey"], "calendar")
+
+
+@query(
+    f"""
+    SELECT weekday, count(*) AS days, {q.percentiles('value_pct')},
+           {q.share_where('value_pct <= -10')} AS pct_days_low,
+           {q.share_where('value_pct >= 10')} AS pct_days_high
+    FROM ({SUPPLIERS_SQL}) WHERE value_pct IS NOT NULL GROUP BY ALL"""
+)
+def distribution_across_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All series together: few and very large groups, folded on the map side."""
+    keys = ["l_suppkey"]
+    series = rolling_weekday_baseline(
+        shipments(spark, sf_dir, keys), METRICS, keys, frame="calendar"
+    )
+    return distribution(series, "value_pct", ["weekday"])
+
+
 def _by_weekday_sql(source: str, metric: str, period: tuple[date, date]) -> str:
     return f"""
     SELECT weekday, count(*) AS days, {q.percentiles(metric)},
@@ -148,21 +167,21 @@ def _position_sql(
     GROUP BY ALL"""
 
 
-@query(f"{_position_sql(BASELINE, 'quantity_pct')} ORDER BY n.day")
+@query(f"{_position_sql(BASELINE, 'quantity_pct')} ORDER BY n.day", "position_in_history")
 def position_of_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return position_in_history(
         _baseline(spark, sf_dir), "quantity_pct", TARGETS, HISTORY
     ).orderBy("day")
 
 
-@query(f"{_position_sql(BASELINE, 'value_pct')} ORDER BY n.day")
+@query(f"{_position_sql(BASELINE, 'value_pct')} ORDER BY n.day", "position_in_history_value")
 def position_of_targets_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return position_in_history(
         _baseline(spark, sf_dir), "value_pct", TARGETS, HISTORY
     ).orderBy("day")
 
 
-@query(f"{_position_sql(YEARLY, 'quantity_yoy_pct')} ORDER BY n.day")
+@query(f"{_position_sql(YEARLY, 'quantity_yoy_pct')} ORDER BY n.day", "position_in_history_yoy")
 def position_of_targets_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
     yearly = lag_variation(
         shipments(spark, sf_dir), METRICS, only=(HISTORY_24M[0], TARGETS[1])
