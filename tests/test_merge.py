@@ -114,6 +114,9 @@ def test_repeated_keys_are_rejected_before_writing(spark):
         upsert_daily(spark, twice, path, ["day"], ["x"])
     with pytest.raises(GateError, match="empty"):
         upsert_daily(spark, twice.limit(0), path, ["day"], ["x"])
+    dateless = twice.limit(1).withColumn("day", F.lit(None).cast("date"))
+    with pytest.raises(GateError, match="lack a required value"):
+        upsert_daily(spark, dateless, path, ["day"], ["x"])
     assert read_daily(spark, path, twice.schema).first().x == 1
 
 

@@ -26,8 +26,7 @@ def with_business_days(
 ) -> DataFrame:
     """Holiday and business-day flags, and the business day's number in its month.
 
-    ``holidays`` lists unique days. Numbers count the days that are present:
-    fill gaps first where that matters.
+    Numbers count the days that are present: fill gaps first where that matters.
     """
     out = with_weekday(flag_days(df, holidays, "holiday", day, span), day)
     working = (F.col("weekday") <= 5) & ~F.col("holiday")

@@ -45,6 +45,17 @@ def duplicate_report(df: DataFrame, key: Sequence[str]) -> DataFrame:
     ).withColumn("duplicate_rows", F.col("rows") - F.col("distinct_keys"))
 
 
+def key_report(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """What an upsert must know of its batch: rows, repeated keys, missing key parts."""
+    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0)
+    return per_key.agg(
+        F.coalesce(F.sum("_n"), zero).alias("rows"),
+        F.coalesce(F.sum(F.col("_n") - 1), zero).alias("duplicate_rows"),
+        F.coalesce(F.sum(F.when(any_null(key), F.col("_n"))), zero).alias("null_rows"),
+    )
+
+
 def gap_report(df: DataFrame, day: str = "day", keys: Sequence[str] = ()) -> DataFrame:
     """Is every series contiguous?  Totals over all series, one row."""
     per_series = df.groupBy(*keys).agg(

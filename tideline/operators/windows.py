@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Period = tuple[date, date]
 
-# A list of days spanning less than this many calendar days has at most as many rows.
+# A few megabytes of dates.
 BROADCAST_SPAN_DAYS = 200_000
 
 
@@ -86,6 +86,18 @@ def expand_windows(
     )
 
 
+def _flag(
+    df: DataFrame, unique_days: DataFrame, name: str, day: str, span: Period | None
+) -> DataFrame:
+    # Unique days inside a span cannot outnumber the span, so they are broadcast when
+    # that bound is small. Without a span the join is left to the sizes Spark measures.
+    listed = unique_days.select(F.col(day).alias("_listed"))
+    if span is not None and (span[1] - span[0]).days < BROADCAST_SPAN_DAYS:
+        listed = F.broadcast(listed.filter(F.col("_listed").between(*map(F.lit, span))))
+    joined = df.join(listed, F.col(day) == F.col("_listed"), "left")
+    return joined.select(*df.columns, F.col("_listed").isNotNull().alias(name))
+
+
 def flag_days(
     df: DataFrame,
     days: DataFrame,
@@ -93,18 +105,11 @@ def flag_days(
     day: str = "day",
     span: Period | None = None,
 ) -> DataFrame:
-    """Add a boolean: is the row's day among ``days``?  ``days`` must be unique.
+    """Add a boolean: is the row's day among ``days``?  A day listed twice counts once.
 
-    A list of unique days inside ``span`` cannot be longer than the span, so it
-    is broadcast when that bound is small. Without a span the join strategy is
-    left to the size Spark measures.
+    ``span`` bounds the days of the series; days outside it are not flagged.
     """
-    listed = days.select(F.col(day).alias("_listed"))
-    if span is not None and (span[1] - span[0]).days < BROADCAST_SPAN_DAYS:
-        listed = F.broadcast(listed.filter(F.col("_listed").between(*map(F.lit, span))))
-    flag: Column = F.col("_listed").isNotNull().alias(name)
-    joined = df.join(listed, F.col(day) == F.col("_listed"), "left")
-    return joined.select(*df.columns, flag)
+    return _flag(df, days.select(day).distinct(), name, day, span)
 
 
 def flag_windows(
@@ -121,4 +126,4 @@ def flag_windows(
     ``span`` bounds the days of the series; days outside it are not flagged.
     """
     days = expand_windows(calendar, kind, within=span, day=day, **columns)
-    return flag_days(df, days, name, day, span)
+    return _flag(df, days, name, day, span)

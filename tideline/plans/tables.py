@@ -74,5 +74,4 @@ def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "lineitem")
         .select(day)
         .filter(F.date_format("day", "MM-dd").isin("01-01", "05-01", "12-25"))
-        .distinct()
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.operators.merge import INSERT, UPDATE, merge_report, merge_rows
-from tideline.operators.quality import duplicate_report, require
+from tideline.operators.quality import key_report, require
 from tideline.session import scratch_path
 from tideline.sources import files
 
@@ -88,7 +88,7 @@ def upsert_daily(
     batch_path = scratch_path(spark, "batch")
     batch.withColumn("month", F.date_format(day, "yyyy-MM")).write.parquet(batch_path)
     batch = read_daily(spark, batch_path, rows)
-    require(duplicate_report(batch, keys))
+    require(key_report(batch, keys))
     if not files.exists(spark, path):
         write_daily(batch.drop("month"), path, day)
         return batch.agg(F.count(F.lit(1)).alias("rows")).select(
