@@ -32,11 +32,14 @@ def _recent_frame(keys: Sequence[str], day: str, weeks: int, frame: str) -> Wind
 def _row_days_ago(columns: Sequence[str], partition: Sequence[str], day: str, days: int) -> Column:
     # An interval bound keeps the order on the date column itself, so the sort of a
     # preceding weekday window is reused; rangeBetween() only takes numbers.
-    fields = ", ".join([f"`{day}` AS previous_day", *(f"`{c}`" for c in columns)])
-    spread = ", ".join(f"`{c}`" for c in partition)
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    fields = ", ".join([f"{quoted(day)} AS previous_day", *map(quoted, columns)])
+    spread = ", ".join(map(quoted, partition))
     back = f"INTERVAL {int(days)} DAYS PRECEDING"
     return F.expr(
-        f"first(struct({fields})) OVER (PARTITION BY {spread} ORDER BY `{day}` "
+        f"first(struct({fields})) OVER (PARTITION BY {spread} ORDER BY {quoted(day)} "
         f"RANGE BETWEEN {back} AND {back})"
     )
 

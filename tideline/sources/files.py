@@ -26,6 +26,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(hadoop)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Give a finished output its final name; an existing name is never reused."""
+    if exists(spark, target):
+        raise FileExistsError(f"{target} already exists")
+    hadoop, system = _hadoop_path(spark, source)
+    if not system.rename(hadoop, _hadoop_path(spark, target)[0]):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def stamped(spark: SparkSession, directory: str, prefix: str, suffix: str = "") -> list[str]:
     """Stamped entries of a directory, oldest first.
 
