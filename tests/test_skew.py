@@ -1,0 +1,110 @@
+"""A third of all facts under one key, another third on one day."""
+
+from collections import defaultdict
+from datetime import date, timedelta
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.functions import cents_sum
+from tideline.operators.quality import duplicate_report, series_report
+from tideline.operators.series import daily_series
+from tideline.operators.variation import lag_variation, rolling_weekday_baseline
+from tideline.operators.windows import expand_windows
+
+ROWS = 60_000
+FIRST = date(2024, 1, 1)
+
+
+@pytest.fixture(scope="module")
+def facts(spark):
+    """Row i: hot key for i % 3 = 0, hot day for i % 3 = 1, spread otherwise."""
+    i = F.col("id")
+    key = F.when(i % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (i % 11).cast("string")))
+    offset = F.when(i % 3 == 1, F.lit(10)).otherwise((i * 7 % 70).cast("int"))
+    return spark.range(0, ROWS, 1, 8).select(
+        key.alias("key"),
+        F.date_add(F.lit(FIRST), offset).cast("timestamp_ntz").alias("at"),
+        ((i % 500) / 100).alias("amount"),
+    )
+
+
+def brute_force():
+    out = defaultdict(lambda: [0, 0])
+    for i in range(ROWS):
+        key = "hot" if i % 3 == 0 else f"k{i % 11}"
+        offset = 10 if i % 3 == 1 else i * 7 % 70
+        cell = out[key, FIRST + timedelta(days=offset)]
+        cell[0] += 1
+        cell[1] += i % 500
+    return out
+
+
+def rolled(facts):
+    return daily_series(
+        facts, "at", {"n": F.count(F.lit(1)), "total": cents_sum("amount")}, ["key"]
+    )
+
+
+def test_roll_up_equals_brute_force(facts):
+    got = {(r.key, r.day): [r.n, int(r.total * 100)] for r in rolled(facts).collect()}
+    assert got == dict(brute_force())
+
+
+def test_hot_rows_are_folded_before_the_shuffle(facts):
+    df = rolled(facts)
+    groups = df.count()
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    written = []
+
+    def visit(node):
+        if "ShuffleExchangeExec" in node.getClass().getName():
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if "AdaptiveSparkPlanExec" in node.getClass().getName():
+            visit(node.executedPlan())
+        elif "QueryStageExec" in node.getClass().getName():
+            visit(node.plan())
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+
+    visit(plan)
+    # Eight map tasks send at most one row per group each, of 60 000 rows.
+    assert written and sum(written) <= 8 * groups < ROWS / 2
+
+
+def test_comparisons_hold_for_the_hot_key(facts):
+    truth = {d: n for (k, d), (n, _) in brute_force().items() if k == "hot"}
+    series = rolled(facts).filter("key = 'hot'")
+    compared = lag_variation(
+        rolling_weekday_baseline(series, ["n"], ["key"], frame="calendar"), ["n"], ["key"], 7
+    )
+    for r in compared.collect():
+        base = [truth[d] for d in truth if 0 < (r.day - d).days <= 28 and (r.day - d).days % 7 == 0]
+        assert r.base_weeks == len(base)
+        assert r.n_previous == truth.get(r.day - timedelta(days=7))
+        if base:
+            assert abs(r.n_mean - Decimal(sum(base)) / len(base)) <= Decimal("0.005")
+
+
+def test_reports_on_raw_facts(facts):
+    days = facts.select("key", F.to_date("at").alias("day"))
+    groups = len(brute_force())
+    row = duplicate_report(days, ["key", "day"]).first()
+    assert (row.rows, row.distinct_keys) == (ROWS, groups)
+    assert series_report(days, keys=["key"]).first().duplicate_rows == ROWS - groups
+
+
+def test_many_copies_of_a_window(spark):
+    def offset(i):
+        return 5 if i % 3 == 0 else i % 90
+
+    i = F.col("id")
+    start = F.date_add(F.lit(FIRST), F.when(i % 3 == 0, 5).otherwise((i % 90).cast("int")))
+    windows = spark.range(30_000).select(
+        start.alias("start_day"), F.date_add(start, 3).alias("end_day"), F.lit("x").alias("kind")
+    )
+    covered = {FIRST + timedelta(days=offset(n) + k) for n in range(30_000) for k in range(4)}
+    days = [r.day for r in expand_windows(windows).collect()]
+    assert len(days) == len(covered) and set(days) == covered
