@@ -18,7 +18,9 @@ FIRST, LAST = date(2024, 6, 3), date(2026, 9, 28)
 def landing(spark):
     days = (LAST - FIRST).days + 1
     numbers = spark.range(days).select(
-        F.date_format(F.date_add(F.lit(FIRST), F.col("id").cast("int")), "yyyy-MM-dd").alias("Data"),
+        F.date_format(F.date_add(F.lit(FIRST), F.col("id").cast("int")), "yyyy-MM-dd").alias(
+            "Data"
+        ),
         (1000 + F.pmod(F.col("id") * 7919, F.lit(997))).alias("Quantidade"),
         F.lit(None).cast("bigint").alias("CanalPrimario"),
         F.lit(None).cast("bigint").alias("CanalSecundario"),
@@ -77,6 +79,14 @@ def test_a_gap_stops_the_load(spark, landing):
     assert not files.exists(spark, table)
 
 
+def test_a_full_page_is_loaded_with_a_warning(spark, landing):
+    table = scratch_path(spark, "daily")
+    rows = (LAST - FIRST).days + 1
+    with pytest.warns(UserWarning, match=f"{rows} rows, the cap is {rows}"):
+        study.load_daily(spark, landing, "day", table, cap=rows)
+    assert study.read_settlements(spark, table).count() == rows
+
+
 def test_views_have_the_known_columns(daily):
     assert study.weekly_view(daily).dtypes == [
         ("data", "date"), ("dia_da_semana", "int"), ("nome_dia_da_semana", "string"),

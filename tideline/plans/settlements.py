@@ -3,6 +3,7 @@ column names its users know. Every step is one of the general operators."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from datetime import date
 from decimal import Decimal
@@ -118,15 +119,22 @@ def typed_daily(raw: DataFrame) -> DataFrame:
     return SETTLEMENT_DAILY.conform(typed)
 
 
-def load_daily(spark: SparkSession, landing: str, prefix: str, table: str) -> DataFrame:
+def load_daily(
+    spark: SparkSession, landing: str, prefix: str, table: str, cap: int = SNAPSHOT_CAP
+) -> DataFrame:
     """Newest snapshot into the daily table; rows per action.
 
     Nothing is written unless the snapshot has no missing or repeated date and
-    no gap.
+    no gap. A snapshot as long as the page cap may have been cut off: it is
+    loaded with a warning.
     """
     newest = snapshots.latest_snapshot(spark, landing, prefix)
     batch = typed_daily(snapshots.scan_snapshots(spark, newest, SETTLEMENT_ENVELOPE))
-    quality.require(quality.series_report(batch, DAY, required=SETTLEMENT_DAILY.required))
+    checked = quality.require(
+        quality.series_report(batch, DAY, required=SETTLEMENT_DAILY.required)
+    )
+    if checked["rows"] >= cap:
+        warnings.warn(f"{newest} has {checked['rows']} rows, the cap is {cap}", stacklevel=2)
     return upsert_daily(spark, batch, table, list(SETTLEMENT_DAILY.key), COMPARED, DAY)
 
 
