@@ -93,7 +93,7 @@ def test_landing_is_append_only(spark):
     with pytest.raises(Exception, match="(?i)exists"):
         snapshots.land_snapshot(later, directory, "pay", LAYOUT, "2024-01-02T000000Z")
     lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
-    assert sorted(len(line["value"]) for line in lines) == [1, 2]
+    assert [len(line["value"]) for line in lines] == [1, 1, 1]
     assert lines[0]["value"][0]["CanalPrimario"] is None
     profile = snapshots.snapshot_profile(
         snapshots.scan_snapshots(spark, f"{directory}/pay_*", LAYOUT), LAYOUT, cap=3

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,36 +18,29 @@ def land_snapshot(
     prefix: str,
     layout: EnvelopeLayout,
     stamp: str | None = None,
-    series: Sequence[str] = (),
 ) -> str:
     """Write one extraction as a new stamped entry and return its path.
 
     Existing snapshots are never touched, and nothing appears for a batch that
     lacks a declared field or has no rows. ``rows`` hold the raw fields of the
     layout and are computed once: they are written under a hidden name, looked
-    at, and then given their stamp. An envelope holds a month of one series, at
-    most 31 rows, so no task ever gathers a whole extraction.
+    at, and then given their stamp. Each row gets an envelope line of its own,
+    so nothing is gathered or shuffled and a reader can split the files.
     """
+    spark = rows.sparkSession
     fields = layout.row_schema.fieldNames()
     absent = [f for f in fields if f not in rows.columns]
     if absent:
         raise GateError(f"the batch lacks {', '.join(absent)}")
     path = f"{directory}/{prefix}_{stamp or files.stamp_now()}"
-    if files.exists(rows.sparkSession, path):
+    if files.exists(spark, path):
         raise FileExistsError(f"{path} already exists")
     hidden = f"{directory}/_{prefix}-{uuid.uuid4().hex}"
-    month = F.substring(F.col(layout.date_field), 1, 7)
-    (
-        rows.groupBy(*series, month.alias("_month"))
-        .agg(F.collect_list(F.struct(*fields)).alias(layout.array))
-        .select(layout.array)
-        .write.mode("errorifexists")
-        .option("ignoreNullFields", "false")
-        .json(hidden)
-    )
-    if rows.sparkSession.read.text(f"{hidden}/part-*").isEmpty():
+    envelopes = rows.select(F.array(F.struct(*fields)).alias(layout.array))
+    envelopes.write.mode("errorifexists").option("ignoreNullFields", "false").json(hidden)
+    if spark.read.text(f"{hidden}/part-*").isEmpty():
         raise GateError("the batch is empty")
-    files.move(rows.sparkSession, hidden, path)
+    files.move(spark, hidden, path)
     return path
 
 
