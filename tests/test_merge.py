@@ -162,3 +162,31 @@ def test_contract_rejects_a_missing_column(spark):
     contract = TableContract((Column("d", "date"),), ("d",))
     with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
         contract.conform(spark.range(1).select(F.lit(1).alias("e")))
+
+
+def test_months_of_the_batch_prune_the_table(spark):
+    from tideline.sources import tables
+
+    path = scratch_path(spark, "t")
+    rows = {d: (d, "a") for d in range(80)}
+    write_daily(frame(spark, rows), path)
+    months = spark.createDataFrame([("2024-02",)], "month string")
+    pruned = tables._in_months(read_daily(spark, path, frame(spark, {}).schema), months)
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2024-02" in plan
+    assert pruned.count() == 29
+
+
+def test_upsert_without_a_month_list(spark, monkeypatch):
+    from tideline.sources import tables
+
+    monkeypatch.setattr(tables, "MONTH_LIST", 0)
+    path = scratch_path(spark, "t")
+    write_daily(frame(spark, {d: (d, "a") for d in range(80)}), path)
+    new = {40: (1, "b"), 70: (70, "b"), 100: (5, "b")}
+    report = upsert_daily(spark, frame(spark, new), path, ["day"], ["x"])
+    actions = {r.action: r.rows for r in report.collect()}
+    # February and March are touched: two days changed or new, one the same.
+    assert actions == {"insert": 1, "update": 1, "unchanged": 1, "kept": 47}
+    stored = read_daily(spark, path, frame(spark, {}).schema)
+    assert stored.count() == 81 and stored.filter("note = 'b'").count() == 2
