@@ -4,7 +4,13 @@ import re
 
 import pytest
 
+from tideline.operators.variation import (
+    lag_variation,
+    rolling_weekday_baseline,
+    variation_vs_recent,
+)
 from tideline.plans import all_queries
+from tideline.plans.tables import shipments
 
 
 def plan(df) -> str:
@@ -45,6 +51,18 @@ def test_scans_and_shuffles(spark, sf_dir, name, scans, exchanges, sorts):
     assert "partial_" in text
 
 
+@pytest.mark.parametrize("frame", ["rows", "calendar"])
+def test_three_comparisons_share_one_shuffle_and_sort(spark, sf_dir, frame):
+    keys, metrics = ["l_suppkey"], ["quantity", "value"]
+    series = rolling_weekday_baseline(
+        shipments(spark, sf_dir, keys), metrics, keys, frame=frame
+    )
+    series = lag_variation(series, metrics, keys)
+    text = plan(variation_vs_recent(series, "value_yoy_pct", keys, frame=frame))
+    assert count(r"- Window ", text) == 3
+    assert (count(r"- Exchange", text), count(r"- Sort ", text)) == (2, 1)
+
+
 @pytest.mark.parametrize("name", sorted(all_queries()))
 def test_no_python_and_no_pairing(spark, sf_dir, name):
     text = plan(all_queries()[name](spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Result types. Money and percentages are never floating point.
@@ -35,10 +35,9 @@ def cents_sum(amount: Column | str) -> Column:
     return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
 
 
-def mean_as(value: Column | str, kind: str = MONEY, over: WindowSpec | None = None) -> Column:
-    """Average rounded half-up to ``kind``, as an aggregate or over a window."""
-    mean = F.avg(value)
-    return (mean if over is None else mean.over(over)).cast(kind)
+def mean_as(value: Column | str, kind: str = MONEY) -> Column:
+    """Average rounded half-up to ``kind``."""
+    return F.avg(value).cast(kind)
 
 
 def pct_change(value: Column, base: Column, on_zero: str = "error") -> Column:

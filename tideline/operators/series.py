@@ -23,7 +23,8 @@ def daily_series(
     This is the only stage that touches the facts. Counts and sums combine on
     the map side, so a key or a day that holds a third of all rows reaches the
     shuffle as one partial row per task. A later filter on ``day`` moves below
-    the aggregate and into the scan.
+    the aggregate and into the scan. Instants take their day in the session time
+    zone; timestamps without a zone take it as written.
     """
     bucket = F.col(date_column).cast("date").alias(day)
     aggregates = [metric.alias(name) for name, metric in metrics.items()]

@@ -11,37 +11,40 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.numbers import PERCENT, mean_as, pct_change
+from tideline.functions.numbers import MONEY, PERCENT, pct_change
 from tideline.operators.series import with_weekday
 
 Period = tuple[date, date]
 
 
-def _recent_frame(keys: Sequence[str], day: str, weeks: int, frame: str) -> WindowSpec:
-    same_weekday = Window.partitionBy(*keys, "weekday")
+def _quoted(*names: str) -> list[str]:
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
+def _over(call: str, partition: Sequence[str], day: str, bounds: str) -> Column:
+    # Written as SQL because only there a range bound may be an interval. Ordering by
+    # the date itself lets all windows of a series share one sort; rangeBetween() takes
+    # numbers and would need an order of its own.
+    spread, order = ", ".join(_quoted(*partition)), _quoted(day)[0]
+    return F.expr(f"{call} OVER (PARTITION BY {spread} ORDER BY {order} {bounds})")
+
+
+def _recent(weeks: int, frame: str) -> str:
     if frame == "rows":
-        return same_weekday.orderBy(day).rowsBetween(-weeks, -1)
+        return f"ROWS BETWEEN {int(weeks)} PRECEDING AND 1 PRECEDING"
     if frame == "calendar":
-        return same_weekday.orderBy(F.unix_date(F.col(day))).rangeBetween(-7 * weeks, -1)
+        back = f"INTERVAL {7 * int(weeks)} DAYS PRECEDING"
+        return f"RANGE BETWEEN {back} AND INTERVAL 1 DAYS PRECEDING"
     raise ValueError("frame is 'rows' or 'calendar'")
 
 
 def _row_days_ago(columns: Sequence[str], partition: Sequence[str], day: str, days: int) -> Column:
-    # An interval bound keeps the order on the date column itself, so the sort of a
-    # preceding weekday window is reused; rangeBetween() only takes numbers.
-    def quoted(name: str) -> str:
-        return "`" + name.replace("`", "``") + "`"
-
-    fields = ", ".join([f"{quoted(day)} AS previous_day", *map(quoted, columns)])
-    spread = ", ".join(map(quoted, partition))
+    fields = ", ".join([f"{_quoted(day)[0]} AS previous_day", *_quoted(*columns)])
     back = f"INTERVAL {int(days)} DAYS PRECEDING"
-    return F.expr(
-        f"first(struct({fields})) OVER (PARTITION BY {spread} ORDER BY {quoted(day)} "
-        f"RANGE BETWEEN {back} AND {back})"
-    )
+    return _over(f"first(struct({fields}))", partition, day, f"RANGE BETWEEN {back} AND {back}")
 
 
 def rolling_weekday_baseline(
@@ -72,10 +75,13 @@ def rolling_weekday_baseline(
         df = df.filter(
             F.col(day).between(F.lit(only[0] - timedelta(days=7 * weeks)), F.lit(only[1]))
         )
-    recent = _recent_frame(keys, day, weeks, frame)
-    means = {f"{m}_mean": mean_as(m, over=recent) for m in metrics}
+    group, bounds = [*keys, "weekday"], _recent(weeks, frame)
+    means = {
+        f"{m}_mean": _over(f"avg({_quoted(m)[0]})", group, day, bounds).cast(MONEY)
+        for m in metrics
+    }
     out = with_weekday(df, day).withColumns(
-        {**means, "base_weeks": F.count(F.lit(1)).over(recent)}
+        {**means, "base_weeks": _over("count(1)", group, day, bounds)}
     )
     complete = F.col("base_weeks") == weeks
     out = out.withColumns(
@@ -144,8 +150,10 @@ def variation_vs_recent(
     taken from the unrounded mean). NULL variations are skipped by the mean and
     the frame need not be complete.
     """
-    recent = _recent_frame(keys, day, weeks, frame)
-    out = with_weekday(df, day).withColumn("_mean", F.avg(metric).over(recent))
+    mean = _over(
+        f"avg({_quoted(metric)[0]})", [*keys, "weekday"], day, _recent(weeks, frame)
+    )
+    out = with_weekday(df, day).withColumn("_mean", mean)
     return out.withColumns(
         {
             f"{metric}_recent_mean": F.col("_mean").cast(PERCENT),
