@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 from tideline.session import remove_folder, scratch_path
 
@@ -22,3 +24,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Remove a table made by ``written`` that nothing will read any more."""
     remove_folder(df.sparkSession, df._tideline_path)
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Let the Python workers of a local session find this package wherever the driver was
+    started. On a cluster it is installed or sent with --py-files."""
+    if spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
