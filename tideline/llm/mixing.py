@@ -54,9 +54,7 @@ def _bisect(sources: DataFrame, good) -> float:
         step = (high - low) / SECTIONS
         borders = [low + step * k for k in range(0 if i == 0 else 1, SECTIONS)]
         tested = (
-            sources.crossJoin(
-                F.broadcast(sources.sparkSession.createDataFrame([(b,) for b in borders], "exponent double"))
-            )
+            sources.select("*", F.explode(F.array(*map(F.lit, borders))).alias("exponent"))
             .groupBy("exponent")
             .agg(good.alias("good"))
             .filter("good")

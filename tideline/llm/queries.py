@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import lines, mixing, packing
+from tideline.llm import lines, minhash, mixing, packing
 from tideline.llm.durable import let_workers_import, written
 
 MAX_REPEATS = 1.5
@@ -40,9 +40,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary, capacity=2048)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_minhash": op6_minhash,
     "op9_mix_sources": op9_mix_sources,
 }
 
