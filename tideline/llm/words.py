@@ -37,6 +37,7 @@ class Words(NamedTuple):
     starts: np.ndarray
     ends: np.ndarray
     buffer: np.ndarray
+    offsets: np.ndarray  # where each text, with one line feed after it, begins in the buffer
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,10 +76,10 @@ def hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower:
     return mix(out)
 
 
-def spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in a buffer."""
+def spans(buffer: np.ndarray, outside: np.ndarray = _ARE_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in a buffer; ``outside`` says which bytes are in none."""
     space = np.ones(len(buffer) + 2, bool)
-    space[1:-1] = _ARE_SPACE[buffer]
+    space[1:-1] = outside[buffer]
     edges = np.flatnonzero(space[1:] != space[:-1])
     return edges[::2], edges[1::2]
 
@@ -100,5 +101,5 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[Wo
             buffer = buffer[offsets[0] : offsets[-1]]
             starts, ends = spans(buffer)
             bounds = np.searchsorted(starts, offsets - offsets[0])
-            yield Words(at, hash_spans(buffer, starts, ends, lower), bounds, starts, ends, buffer)
+            yield Words(at, hash_spans(buffer, starts, ends, lower), bounds, starts, ends, buffer, offsets - offsets[0])
             at = upto
