@@ -51,7 +51,7 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _PART = re.compile(rf"(?:^|[\s_-])(?:{PARTS.replace(' ', '|')})(?:$|[\s_-])", re.I)
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
+HOST = "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def _is_part(attributes: str) -> bool:
@@ -173,39 +173,44 @@ def main_blocks(page: str) -> list[tuple[str, list[int]]]:
     return [(text, path) for text, path, _, _, link in every if not link]
 
 
-def host_of(url: str | None) -> str:
-    found = _HOST.match(url or "")
-    return found[1].lower() if found else ""
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """(host, content, hashes): a hash of each page's main text and those of the elements around it."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [main_blocks(h.as_py() or "") for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([xxhash.xxh64_intdigest(" ".join(t for t, _ in page)) >> 1 for page in found], pa.int64()),
+                    pa.array([sorted({h for _, path in page for h in path}) for page in found], pa.list_(pa.int64())),
+                ],
+                ["host", "content", "hashes"],
+            )
+
+    return pages.select("host", "html").mapInArrow(parse, "host string, content long, hashes array<long>")
 
 
-def page_blocks(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """Per page: its host, a hash of its main text, the text blocks and the subtrees around each."""
+def main_texts(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_template_blocks of rows (page_id, url, html, templates)."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                run = batch.slice(at, 256)
-                found = [main_blocks(h.as_py() or "") for h in run.column(2)]
-                texts = [[t for t, _ in page] for page in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        run.column(0),
-                        run.column(1),
-                        pa.array([host_of(u.as_py()) for u in run.column(1)], pa.string()),
-                        pa.array([xxhash.xxh64_intdigest(" ".join(t)) >> 1 for t in texts], pa.int64()),
-                        pa.array(texts, pa.list_(pa.string())),
-                        pa.array([[p for _, p in page] for page in found], pa.list_(pa.list_(pa.int64()))),
-                    ],
-                    ["page_id", "url", "host", "content", "texts", "paths"],
-                )
+            texts, dropped = [], []
+            for html, templates in zip(batch.column(2), batch.column(3)):
+                found = main_blocks(html.as_py() or "")
+                gone = frozenset(templates.as_py() or ())
+                kept = [t for t, path in found if gone.isdisjoint(path)]
+                texts.append(" ".join(kept))
+                dropped.append(len(found) - len(kept))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(dropped, pa.int64())],
+                ["page_id", "url", "text", "n_template_blocks"],
+            )
 
-    return pages.select(
-        F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")
-    ).mapInArrow(
-        parse,
-        f"page_id {kinds[page_id]}, url {kinds[url]}, host string, content long, "
-        "texts array<string>, paths array<array<long>>",
+    return pages.select("page_id", "url", "html", "templates").mapInArrow(
+        parse, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_template_blocks long"
     )
 
 
@@ -231,9 +236,15 @@ def extract_main_text(
     Null or empty html, and a page with nothing left, give an empty text. Rows are
     kept as they are, repeated or without id or url (no host: one host of its own).
     """
-    parsed = written(page_blocks(pages, page_id, url, html), "page-blocks")
-    around = F.array_distinct(F.flatten("paths"))
-    distinct = parsed.groupBy("host", "content").agg(F.first(around).alias("hashes"))
+    base = pages.select(
+        F.col(page_id).alias("page_id"),
+        F.col(url).alias("url"),
+        F.col(html).alias("html"),
+        F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), HOST, 1), F.lit(""))).alias("host"),
+    )
+    distinct = written(
+        page_subtrees(base).groupBy("host", "content").agg(F.first("hashes").alias("hashes")), "page-subtrees"
+    )
     sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     templates = (
         distinct.select("host", F.explode("hashes").alias("hash"))
@@ -242,22 +253,10 @@ def extract_main_text(
         .filter(F.col("times") >= min_pages)
         .join(sizes, "host")
         .filter(F.col("times") >= F.lit(min_share) * F.col("pages"))
-        .select("host", "hash")
+        .groupBy(F.col("host").alias("t_host"))
+        .agg(F.collect_list("hash").alias("templates"))
     )
+    # at most 1 / min_share as many as a page of the host has elements; usually few enough to broadcast
     templates = written(templates, "templates")
-    gone = (
-        parsed.select("host", "content", F.explode(around).alias("hash"))
-        .distinct()
-        .join(templates, ["host", "hash"])
-        .groupBy("host", "content")
-        .agg(F.collect_list("hash").alias("gone"))
-        .select(F.col("host").alias("g_host"), F.col("content").alias("g_content"), "gone")
-    )
-    joined = parsed.join(gone, (F.col("host") == F.col("g_host")) & (F.col("content") == F.col("g_content")), "left")
-    own = F.filter("texts", lambda _, i: ~F.arrays_overlap(F.col("paths")[i], F.col("gone")))
-    left = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(own)
-    text = F.array_join(left, " ")
-    return joined.select(
-        "page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"),
-        (F.size("texts") - F.size(left)).cast("long").alias("n_template_blocks"),
-    )
+    found = main_texts(base.join(templates, F.col("host") == F.col("t_host"), "left"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template_blocks")
