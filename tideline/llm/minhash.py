@@ -17,6 +17,7 @@ PERCENT = 75
 BANDS = 36
 ROWS = 4
 POSITIONS = 1 << 20
+STARS = 4
 _WEIGHTS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -142,6 +143,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(compare, "a long, b long")
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, each with its own root and
+    ``top``, that of the bucket's largest component."""
+    placed = members.join(roots, "node", "left").select("key", "node", "n", "mates", F.coalesce("root", "node").alias("root"))
+    placed = written(placed, "placed")
+    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many"))
+    mixed = (
+        by_root.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("many", "root")).alias("top"))
+        .filter("roots > 1")
+        .select("key", F.col("top.root").alias("top"))
+    )
+    return written(placed.join(mixed, "key"), "open")
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -159,10 +175,10 @@ def near_duplicates(
     checked on its full sets.
 
     Documents with equal sets are one node. In a bucket each node is first checked
-    against the smallest; what that connects needs no further pair. Between nodes of a
-    bucket that are still in different components every pair is checked, except inside
-    the bucket's largest component. So a bucket of n copies costs n pairs, and no link
-    between components is lost.
+    against the one with most bucket mates, then, where that leaves several components,
+    against STARS - 1 random ones; what is connected needs no further pair. At last every
+    pair of a bucket's nodes in different components is checked. So a bucket of n copies
+    costs about n pairs, and no link between components is lost.
 
     Null and empty texts have no shingles and are linked with nothing. Rows without an id
     have a null component and are kept; rows that share an id are compared by their texts,
@@ -174,40 +190,40 @@ def near_duplicates(
         real.groupBy("node", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "classes"
     )
     keyed = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("node", "n")).alias("hub")).filter("many > 1")
-    members = written(keyed.join(shared, "key").select("key", "node", "n", "hub"), "buckets")
-    near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-
-    star = written(
-        members.select(F.col("hub.node").alias("a"), F.col("hub.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n"))
-        .filter("a <> b").filter(near).select("a", "b").distinct(),
-        "pairs",
-    )
-    wanted = members.select("node").distinct().join(classes.select("node", "first_id"), "node")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    together = written(keyed.join(shared, "key"), "buckets")
+    mates = together.groupBy("node").agg(F.sum("many").alias("mates"))
+    members = written(together.join(mates, "node").select("key", "node", "n", "mates"), "members")
+    wanted = mates.select("node").join(classes.select("node", "first_id"), "node")
     texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("same"))
     sets = written(_sets(texts.join(wanted, "first_id").dropDuplicates(["first_id", "node", "same"])), "sets")
-    links = written(_confirmed(star, sets, percent), "links")
-    roots = connected(links)
+    near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
 
-    placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    placed = written(placed, "placed")
-    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many"))
-    mixed = (
-        by_root.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("many", "root")).alias("top"))
-        .filter("roots > 1")
-        .select("key", F.col("top.root").alias("top"))
-    )
-    open_ = placed.join(mixed, "key")
-    x = open_.filter("root <> top").select("key", F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("root").alias("x_root"))
-    y = open_.select("key", F.col("node").alias("y"), F.col("n").alias("b_n"), F.col("root").alias("y_root"))
-    across = (
-        x.join(y, "key").filter("x_root <> y_root").filter(near)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = written(_confirmed(written(across, "pairs"), sets, percent), "links")
-    roots = connected(links.union(more)) if not more.isEmpty() else roots
+    tested = links = roots = None
+    open_ = members.withColumn("root", F.col("node"))
+    for number in range(STARS + 1):
+        if number < STARS:
+            order = F.col("mates") if number == 0 else F.xxhash64(F.lit(number), F.col("node"))
+            hubs = open_.groupBy("key").agg(F.max(F.struct(order.alias("o"), "node", "n", "root")).alias("hub"))
+            pairs = open_.join(hubs, "key").filter(F.col("root") != F.col("hub.root")).select(
+                F.col("hub.node").alias("x"), F.col("hub.n").alias("a_n"), F.col("node").alias("y"), F.col("n").alias("b_n")
+            )
+        else:
+            x = open_.filter("root <> top").select("key", F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("root").alias("x_root"))
+            y = open_.select("key", F.col("node").alias("y"), F.col("n").alias("b_n"), F.col("root").alias("y_root"))
+            pairs = x.join(y, "key").filter("x_root <> y_root")
+        pairs = pairs.filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        found = written(_confirmed(pairs, sets, percent), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        if roots is not None and found.isEmpty():
+            continue
+        roots = connected(links)
+        if number < STARS:
+            open_ = _open(members, roots)
 
     named = classes.select("node", "first_id").join(roots, "node")
     least = named.groupBy("root").agg(F.min("first_id").alias("least"))
@@ -217,7 +233,7 @@ def near_duplicates(
     result = signed.select("doc_id", "n_shingles", "node").join(found, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
     )
-    for done in (members, star, placed, sets):
+    for done in (together, members, sets):
         discard(done)
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
