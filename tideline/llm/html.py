@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm.durable import written
 
-MIN_PAGES = 4
-MIN_SHARE = 0.2
+MIN_PAGES = 5
+MIN_SHARE = 0.6  # a passage that many articles quote stays well below; a site template does not
 
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
