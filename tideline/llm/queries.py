@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import cotraining, html, lines, minhash, mixing, packing, toxicity
+from tideline.llm import cotraining, covertree, graph, html, lines, minhash, mixing, packing, toxicity
 from tideline.llm.durable import let_workers_import, written
 
 MAX_REPEATS = 1.5
@@ -53,18 +53,28 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_products(table(spark, sf_dir, "embeddings"), every=20, best=20)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nearest(table(spark, sf_dir, "embeddings"), every=50, best=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_html_extraction": op2_html_extraction,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_minhash": op6_minhash,
+    "op7_cover_tree": op7_cover_tree,
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
+    "op10_graph_search": op10_graph_search,
 }
 
 ORACLES: dict[str, str] = {
