@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tideline.session import remove_folder, scratch_path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once, written to the shared folder and read back.
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df``, computed once, written to the shared folder (in folders ``by``) and read back.
 
     This cuts the lineage at files that survive the loss of any executor.
     """
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._tideline_path = path
     return found

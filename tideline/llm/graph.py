@@ -11,9 +11,9 @@ from tideline.llm.durable import written
 from tideline.llm.vectors import matrix, search_shards, usable
 
 SHARD_ROWS = 8_192
-DEGREE = 24
-BUILD_BEAM = 40
-SEARCH_BEAM = 64
+DEGREE = 32
+BUILD_BEAM = 64
+SEARCH_BEAM = 128
 RELAXED = 1.2
 BATCH = 256
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import cotraining, covertree, graph, html, lines, minhash, mixing, packing, toxicity
+from tideline.llm import cotraining, covertree, graph, html, katz, lines, minhash, mixing, packing, toxicity
 from tideline.llm.durable import let_workers_import, written
 
 MAX_REPEATS = 1.5
@@ -29,6 +29,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -68,6 +72,7 @@ def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_html_extraction": op2_html_extraction,
+    "op3_katz_backoff": op3_katz_backoff,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_minhash": op6_minhash,
