@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import connected
@@ -17,7 +17,8 @@ PERCENT = 75
 BANDS = 36
 ROWS = 4
 POSITIONS = 1 << 20
-STARS = 4
+STARS = 2
+ALIKE = 0.6  # share of equal coordinates that a pair outside the stars must reach
 _WEIGHTS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -57,8 +58,8 @@ def circulant(shifts: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: shifts - 1]]), shifts)
 
 
-def band_keys(found: np.ndarray, shifted: np.ndarray, rows: int) -> np.ndarray:
-    """Hashes of the bands of one set's signature.
+def signature(found: np.ndarray, shifted: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bands of one set's signature, and a byte of each coordinate, eight to a number.
 
     The first permutation is a hash of the element, taken as a position; coordinate k is
     the least entry, over the set, of the second permutation shifted by k.
@@ -70,11 +71,12 @@ def band_keys(found: np.ndarray, shifted: np.ndarray, rows: int) -> np.ndarray:
     for i in range(4096, len(at), 4096):
         np.minimum(least, shifted[at[i : i + 4096]].min(axis=0), out=least)
     grid = least.reshape(-1, rows).astype(np.uint64)
-    return mix(grid @ _WEIGHTS[:rows] + np.arange(len(grid), dtype=np.uint64) * _WEIGHTS[41])
+    keys = mix(grid @ _WEIGHTS[:rows] + np.arange(len(grid), dtype=np.uint64) * _WEIGHTS[41])
+    return keys, (mix(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).view(np.int64)
 
 
 def signatures(docs: DataFrame, text: str, doc_id: str, bands: int, rows: int) -> DataFrame:
-    """Per row: n_shingles, a 64-bit fingerprint of its set (``node``) and its band keys."""
+    """Per row: n_shingles, a 64-bit fingerprint of its set (``node``), its band keys and bytes of its signature."""
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,28 +85,46 @@ def signatures(docs: DataFrame, text: str, doc_id: str, bands: int, rows: int) -
         shifted = circulant(bands * rows)
         for batch in batches:
             for words in slices(batch.column(1)):
-                sizes, nodes, keys = [], [], []
+                sizes, nodes, keys, marks = [], [], [], []
+                none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 for found in shingle_sets(words):
                     sizes.append(len(found))
                     nodes.append(set_number(found))
-                    keys.append(band_keys(found, shifted, rows) if len(found) else np.zeros(0, np.uint64))
-                ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
-                flat = np.concatenate(keys).view(np.int64)
+                    key, mark = signature(found, shifted, rows) if len(found) else none
+                    keys.append(key)
+                    marks.append(mark)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.first, len(sizes)),
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                        _lists(keys),
+                        _lists(marks),
                     ],
-                    ["doc_id", "n_shingles", "node", "bands"],
+                    ["doc_id", "n_shingles", "node", "bands", "marks"],
                 )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        sign, f"doc_id {id_type}, n_shingles long, node long, bands array<long>"
+        sign, f"doc_id {id_type}, n_shingles long, node long, bands array<long>, marks array<long>"
     )
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
+
+
+def _equal_coordinates(x: str, y: str, longs: int) -> Column:
+    """How many of the signature bytes of two columns agree: bytes of their difference that are zero."""
+    total = F.lit(0)
+    for i in range(longs):
+        folded = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        for bits in (4, 2, 1):  # the lowest bit of every byte becomes the union of its bits
+            folded = folded.bitwiseOR(F.shiftrightunsigned(folded, bits))
+        total = total + 8 - F.bit_count(folded.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """(node, items): the shingles of each node's set as bytes, from texts that may have it."""
 
@@ -175,10 +195,11 @@ def near_duplicates(
     checked on its full sets.
 
     Documents with equal sets are one node. In a bucket each node is first checked
-    against the one with most bucket mates, then, where that leaves several components,
-    against STARS - 1 random ones; what is connected needs no further pair. At last every
-    pair of a bucket's nodes in different components is checked. So a bucket of n copies
-    costs about n pairs, and no link between components is lost.
+    against the one with most bucket mates and a random one; what that connects needs no further
+    pair, so a bucket of n copies costs about n pairs. Between nodes of a bucket that
+    are still in different components every pair is checked whose signatures agree in ALIKE
+    of their coordinates; a pair at the limit has them in 0.75 and falls short with a chance
+    of about one in a hundred thousand.
 
     Null and empty texts have no shingles and are linked with nothing. Rows without an id
     have a null component and are kept; rows that share an id are compared by their texts,
@@ -187,7 +208,7 @@ def near_duplicates(
     signed = written(signatures(docs, text, doc_id, bands, rows), "signatures")
     real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(
-        real.groupBy("node", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "classes"
+        real.groupBy("node", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes"
     )
     keyed = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
@@ -199,31 +220,26 @@ def near_duplicates(
     sets = written(_sets(texts.join(wanted, "first_id").dropDuplicates(["first_id", "node", "same"])), "sets")
     near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
 
-    tested = links = roots = None
-    open_ = members.withColumn("root", F.col("node"))
-    for number in range(STARS + 1):
-        if number < STARS:
-            order = F.col("mates") if number == 0 else F.xxhash64(F.lit(number), F.col("node"))
-            hubs = open_.groupBy("key").agg(F.max(F.struct(order.alias("o"), "node", "n", "root")).alias("hub"))
-            pairs = open_.join(hubs, "key").filter(F.col("root") != F.col("hub.root")).select(
-                F.col("hub.node").alias("x"), F.col("hub.n").alias("a_n"), F.col("node").alias("y"), F.col("n").alias("b_n")
-            )
-        else:
-            x = open_.filter("root <> top").select("key", F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("root").alias("x_root"))
-            y = open_.select("key", F.col("node").alias("y"), F.col("n").alias("b_n"), F.col("root").alias("y_root"))
-            pairs = x.join(y, "key").filter("x_root <> y_root")
-        pairs = pairs.filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(_confirmed(pairs, sets, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if roots is not None and found.isEmpty():
-            continue
-        roots = connected(links)
-        if number < STARS:
-            open_ = _open(members, roots)
+    orders = [F.col("mates"), *(F.xxhash64(F.lit(number), F.col("node")) for number in range(1, STARS))]
+    hubs = members.groupBy("key").agg(*(F.max(F.struct(o.alias("o"), "node", "n")).alias(f"hub{i}") for i, o in enumerate(orders)))
+    star = members.join(hubs, "key").select(
+        F.col("node").alias("y"), F.col("n").alias("b_n"), F.explode(F.array(*(F.struct(f"hub{i}.node", f"hub{i}.n") for i in range(STARS)))).alias("hub")
+    )
+    star = star.select(F.col("hub.node").alias("x"), F.col("hub.n").alias("a_n"), "y", "b_n").filter("x <> y").filter(near)
+    star = written(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    links = written(_confirmed(star, sets, percent), "links")
+    roots = connected(links)
+
+    open_ = _open(members, roots).join(classes.select("node", "marks"), "node")
+    side = lambda i, a: [F.col("node").alias(i), F.col("n").alias(f"{a}_n"), F.col("root").alias(f"{i}_root"), F.col("marks").alias(f"{i}_marks")]
+    x, y = open_.filter("root <> top").select("key", *side("x", "a")), open_.select("key", *side("y", "b"))
+    alike = _equal_coordinates("x_marks", "y_marks", bands * rows // 8) >= int(ALIKE * bands * rows)
+    on = (x["key"] == y["key"]) & (F.col("x_root") != F.col("y_root")) & near & alike
+    rest = x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = written(rest.join(star, ["a", "b"], "left_anti"), "pairs")
+    more = written(_confirmed(rest, sets, percent), "links")
+    if not more.isEmpty():
+        roots = connected(links.unionByName(more))
 
     named = classes.select("node", "first_id").join(roots, "node")
     least = named.groupBy("root").agg(F.min("first_id").alias("least"))
