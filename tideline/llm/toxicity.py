@@ -133,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """A model from rows outside the held-out fold: confirmed examples are those labelled 1,
     all texts count as unlabelled, the examples too. The class prior is the labelled rows' share of 1.
 
-    The sample is bounded by MOST_POSITIVE and MOST_UNLABELLED texts; counts and prior are
-    of all rows.
+    The sample is bounded by MOST_POSITIVE and MOST_UNLABELLED texts, so the ids of its
+    examples can be broadcast; counts and prior are of all rows.
     """
     learned = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter(
         F.col("label").isNotNull() & F.col("id").isNotNull() & (fold("id", FOLDS) != HELD_OUT)
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     confirmed = sampled(learned.filter("label = 1").select("id").distinct(), "id", MOST_POSITIVE, known["ones"], 1)
     others = sampled(base, "id", MOST_UNLABELLED, base.count(), 2)
     sample = (
-        base.join(confirmed, "id").select(F.lit(1).alias("kind"), "text")
+        base.join(F.broadcast(confirmed), "id").select(F.lit(1).alias("kind"), "text")
         .unionByName(others.select(F.lit(0).alias("kind"), "text"))
     )
     sides: tuple[list, list] = ([], [])
