@@ -1,0 +1,83 @@
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tideline.llm.katz import ABOVE, CUT, discounts, katz_scores
+
+
+def tokens(text):
+    return [*(text or "").encode().lower().split(), b"\n"]
+
+
+class Brute:
+    def __init__(self, rows):
+        self.counts, self.pairs, self.histories = Counter(), Counter(), Counter()
+        for d, t in rows:
+            if zlib.crc32(b"" if d is None else str(d).encode()) % 10:
+                w = tokens(t)
+                self.counts.update(w)
+                self.pairs.update(zip([b"", *w], w))
+                self.histories.update([b"", *w[:-1]])
+        self.n = sum(self.counts.values())
+        of = lambda c: discounts(np.array([list(c.values()).count(r) for r in range(1, CUT + 2)]))
+        self.d2, self.d1 = of(self.pairs), of(self.counts)
+        self.unigram = {w: self.kept(c, self.d1) / self.n for w, c in self.counts.items()}
+        self.unknown = 1 - sum(self.unigram.values())
+        self.after = defaultdict(list)
+        for (h, w), c in self.pairs.items():
+            self.after[h].append((w, c))
+
+    @staticmethod
+    def kept(c, d):
+        return c - ABOVE if c > CUT else c * d[c - 1]
+
+    def p(self, h, w):
+        if (h, w) in self.pairs:
+            return self.kept(self.pairs[h, w], self.d2) / self.histories[h]
+        weight = 1.0
+        if h in self.after:
+            seen = self.after[h]
+            left = 1 - sum(self.kept(c, self.d2) for _, c in seen) / self.histories[h]
+            weight = left / (1 - sum(self.unigram[x] for x, _ in seen))
+        return weight * self.unigram.get(w, self.unknown)
+
+    def row(self, d, t):
+        w = tokens(t)
+        base = sum(math.log10((self.counts[x] + 0.1) / (self.n + 0.1 * (len(self.counts) + 1))) for x in w)
+        return len(w), sum(self.counts[x] > 0 for x in w), base, sum(math.log10(self.p(h, x)) for h, x in zip([b"", *w], w))
+
+
+def test_against_brute_force(docs):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(words[k] for k in np.minimum(rng.zipf(1.3, rng.integers(1, 60)) - 1, 299))) for i in range(300)]
+    rows += [(300, None), (301, ""), (302, "W1\tw2\n\nÉté été"), (303, "w1 " * 20_000), (None, "w1 w2"), (5, "w9 w9"), (5, "w9 w9")]
+    brute, found = Brute(rows), katz_scores(docs(rows)).collect()
+    assert len(found) == len(rows)
+    texts = defaultdict(list)
+    for d, t in rows:
+        texts[d].append(brute.row(d, t))
+    for r in found:
+        n, known, base, score = min(texts[r["doc_id"]], key=lambda x: abs(x[3] - r["score"]))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, brute.n)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
+        assert r["held_out"] == (zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 10 == 0)
+
+
+def test_probabilities_after_a_history_sum_to_one():
+    rows = [(i, t) for i, t in enumerate(["a b a c", "a b b", "c a b", "d a a a a a a a a"] * 3) if zlib.crc32(str(i).encode()) % 10]
+    brute = Brute(rows)
+    for h in [*brute.counts, b"", b"never seen"]:
+        if h != b"\n":
+            assert sum(brute.p(h, w) for w in [*brute.counts, b"unknown"]) == pytest.approx(1)
+
+
+def test_nothing_to_learn_from(docs):
+    held = next(i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    (row,) = katz_scores(docs([(held, "a b")])).collect()
+    assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"]) == (True, 3, 0, 0)
+    assert row["score"] == row["base_score"] == pytest.approx(0)
+    assert katz_scores(docs([])).collect() == []
