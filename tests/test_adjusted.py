@@ -20,17 +20,14 @@ def test_business_days(spark, series):
         [(date(2024, 1, 1),), (date(2024, 1, 1),), (date(2024, 1, 6),)], "day date"
     )
     df = series(range(40))
-    for span in (None, (date(2024, 1, 1), date(2024, 12, 31))):
-        rows = {
-            r.day: r for r in with_business_days(df, holidays, span=span).collect()
-        }
-        assert len(rows) == 40
-        assert not rows[date(2024, 1, 1)].business_day
-        assert rows[date(2024, 1, 2)].business_day_number == 1
-        assert rows[date(2024, 1, 6)].holiday and rows[date(2024, 1, 6)].business_day_number is None
-        assert rows[date(2024, 1, 31)].business_day_number == 22
-        assert rows[date(2024, 1, 31)].business_days_in_month == 22
-        assert rows[date(2024, 2, 1)].business_day_number == 1
+    rows = {r.day: r for r in with_business_days(df, holidays).collect()}
+    assert len(rows) == 40
+    assert not rows[date(2024, 1, 1)].business_day
+    assert rows[date(2024, 1, 2)].business_day_number == 1
+    assert rows[date(2024, 1, 6)].holiday and rows[date(2024, 1, 6)].business_day_number is None
+    assert rows[date(2024, 1, 31)].business_day_number == 22
+    assert rows[date(2024, 1, 31)].business_days_in_month == 22
+    assert rows[date(2024, 2, 1)].business_day_number == 1
 
 
 def test_month_cycle(series):

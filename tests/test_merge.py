@@ -78,16 +78,43 @@ def test_stored_upsert_matches_the_query(spark, old, new):
     got = {(r.day - FIRST).days: (r.x, r.note) for r in stored.collect()}
     want = model(old, new)
     assert got == {d: row[:2] for d, row in want.items()}
-    # The report covers the months the batch touches.
-    months = {(FIRST + timedelta(days=d)).month for d in new}
-    actions = [
-        row[2] for d, row in want.items() if (FIRST + timedelta(days=d)).month in months
-    ]
+    # The report covers the rows of the batch.
+    actions = [row[2] for d, row in want.items() if d in new]
     assert {r.action: r.rows for r in report.collect()} == {
         a: actions.count(a) for a in set(actions)
     }
 
 
+def test_upserts_that_would_lose_something_are_refused(spark):
+    path = scratch_path(spark, "t")
+    stored = frame(spark, {0: (1, "a"), 40: (2, "b")}).withColumn("extra", F.lit("kept"))
+    write_daily(stored, path)
+    batch = frame(spark, {0: (5, "c")})
+    with pytest.raises(GateError, match="differ in their columns"):
+        upsert_daily(spark, batch, path, ["day"], ["x"])
+    other = batch.withColumns({"extra": F.lit("e"), "x": F.col("x").cast("string")})
+    with pytest.raises(GateError, match="differ in their columns"):
+        upsert_daily(spark, other, path, ["day"], ["x"])
+    with pytest.raises(ValueError, match="one of the keys"):
+        upsert_daily(spark, stored, path, ["note"], ["x"])
+    with pytest.raises(GateError, match="taken by"):
+        write_daily(batch.withColumn("stored_month", F.lit("m")), scratch_path(spark, "t"))
+    assert sorted(r.x for r in read_daily(spark, path, stored.schema).collect()) == [1, 2]
+    whole = stored.filter("x = 1").withColumn("x", F.col("x") + 8)
+    assert [(r.action, r.rows) for r in upsert_daily(spark, whole, path, ["day"], ["x"]).collect()] == [("update", 1)]
+    assert {(r.x, r.extra) for r in read_daily(spark, path, stored.schema).collect()} == {(9, "kept"), (2, "kept")}
+
+
+def test_calendar_columns_can_be_stored(spark):
+    from tideline.operators.series import with_calendar
+
+    path = scratch_path(spark, "t")
+    rows = with_calendar(frame(spark, {0: (1, "a")}))
+    write_daily(rows, path)
+    upsert_daily(spark, rows.withColumn("x", F.col("x") + 1), path, ["day"], ["x"])
+    assert [(r.x, r.month) for r in read_daily(spark, path, rows.schema).collect()] == [(2, 1)]
+
+
 def test_upsert_twice_changes_nothing_and_leaves_files_alone(spark, tmp_path):
     path = scratch_path(spark, "t")
     rows = {d: (d, "a") for d in range(70)}
@@ -170,23 +197,28 @@ def test_months_of_the_batch_prune_the_table(spark):
     path = scratch_path(spark, "t")
     rows = {d: (d, "a") for d in range(80)}
     write_daily(frame(spark, rows), path)
-    months = spark.createDataFrame([("2024-02",)], "month string")
+    months = spark.createDataFrame([("2024-02",)], "stored_month string")
     pruned = tables._in_months(read_daily(spark, path, frame(spark, {}).schema), months)
     plan = pruned._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(month" in plan and "2024-02" in plan
+    assert "PartitionFilters: [isnotnull(stored_month" in plan and "2024-02" in plan
     assert pruned.count() == 29
 
 
-def test_upsert_without_a_month_list(spark, monkeypatch):
-    from tideline.sources import tables
-
-    monkeypatch.setattr(tables, "MONTH_LIST", 0)
+def test_upsert_over_several_months(spark):
     path = scratch_path(spark, "t")
     write_daily(frame(spark, {d: (d, "a") for d in range(80)}), path)
     new = {40: (1, "b"), 70: (70, "b"), 100: (5, "b")}
     report = upsert_daily(spark, frame(spark, new), path, ["day"], ["x"])
-    actions = {r.action: r.rows for r in report.collect()}
-    # February and March are touched: two days changed or new, one the same.
-    assert actions == {"insert": 1, "update": 1, "unchanged": 1, "kept": 47}
+    # February and March are touched: one day changed, one new, one the same.
+    assert {r.action: r.rows for r in report.collect()} == {"insert": 1, "update": 1, "unchanged": 1}
     stored = read_daily(spark, path, frame(spark, {}).schema)
     assert stored.count() == 81 and stored.filter("note = 'b'").count() == 2
+
+
+def test_rows_in_chosen_months(spark):
+    from tideline.sources import tables
+
+    rows = spark.createDataFrame([("2024-01", 1), ("2024-02", 2), ("2024-03", 3)], "stored_month string, x int")
+    months = rows.filter("x <> 2").select("stored_month")
+    assert sorted(r.x for r in tables._in_months(rows, months).collect()) == [1, 3]
+

@@ -127,3 +127,10 @@ def test_unexpected_nulls_are_seen(series):
     values[28] = None
     weekly = rolling_weekday_baseline(series(values), ["x"])
     assert g.baseline_integrity(series(values), weekly, "x").first().unexpected_nulls == 1
+
+
+def test_a_repeated_day_does_not_hide_a_gap(spark):
+    df = spark.createDataFrame([(date(2024, 1, d),) for d in (1, 1, 3)], "day date")
+    found = g.gap_report(df).first()
+    assert (found.rows, found.days_in_span, found.series_with_gaps, found.contiguous) == (3, 3, 1, False)
+    assert g.series_report(df).first().series_with_gaps == 1

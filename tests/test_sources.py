@@ -169,3 +169,22 @@ def test_scratch_lies_in_the_shared_folder(spark):
 def test_null_required_values_pass_the_reader(spark, tmp_path):
     path = seed(tmp_path, HEADER + "2024-01-01,2024-01-05,,u,x\n")
     assert read_window_seed(spark, path, WINDOW_SEED).filter(F.col("tipo").isNull()).count() == 1
+
+
+def test_scratch_needs_a_shared_folder_off_local_masters():
+    from types import SimpleNamespace
+
+    from tideline.session import shared_folder
+
+    far = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *a: None),
+        sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None),
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(far)
+
+
+def test_inline_without_rows(spark):
+    from tideline.operators.compare import inline
+
+    assert inline(spark, [], "day date, x int").collect() == []

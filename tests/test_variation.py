@@ -229,3 +229,13 @@ def test_densify_per_key_keeps_own_span(series):
 def test_latest_days(series):
     newest = latest_days(series(range(20)), 3).collect()
     assert [r.x for r in newest] == [19, 18, 17]
+
+
+def test_densify_covers_the_period_for_every_series(spark):
+    rows = [("a", date(2024, 1, 2)), ("a", date(2024, 1, 2)), ("b", date(2020, 5, 5)), ("c", date(2030, 1, 1))]
+    df = spark.createDataFrame([(k, d, 1) for k, d in rows], "k string, day date, x int")
+    out = densify(df, keys=["k"], start=date(2024, 1, 1), end=date(2024, 1, 3)).collect()
+    assert sorted((r.k, r.day.day, r.inserted) for r in out) == [
+        ("a", 1, True), ("a", 2, False), ("a", 2, False), ("a", 3, True),
+        *[(k, d, True) for k in "bc" for d in (1, 2, 3)],
+    ]

@@ -52,10 +52,19 @@ def test_overlaps_flag_each_day_once(spark, series):
         [(at(2), at(4), "a"), (at(3), at(6), "a"), (at(8), at(8), "b")], SCHEMA
     )
     df = series(range(10))
-    for span in (None, (at(0), at(9))):
-        flagged = flag_windows(df, calendar, "a", "inside", span=span).collect()
-        assert len(flagged) == 10
-        assert {r.x for r in flagged if r.inside} == {2, 3, 4, 5, 6}
+    flagged = flag_windows(df, calendar, "a", "inside").collect()
+    assert len(flagged) == 10
+    assert {r.x for r in flagged if r.inside} == {2, 3, 4, 5, 6}
+
+
+def test_windows_far_from_the_others_flag_their_days(spark):
+    calendar = spark.createDataFrame(
+        [(date(1200, 1, 1), date(1200, 1, 2), "a"), (date(2101, 3, 1), date(2101, 3, 3), "a")], SCHEMA
+    )
+    days = [date(1200, 1, 2), date(2024, 1, 1), date(2101, 3, 3)]
+    frame = spark.createDataFrame([(d,) for d in days], "day date")
+    flagged = flag_windows(frame, calendar, "a", "inside").orderBy("day").collect()
+    assert [r.inside for r in flagged] == [True, False, True]
 
 
 def test_profile(spark):

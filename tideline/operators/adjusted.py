@@ -22,13 +22,12 @@ def with_business_days(
     holidays: DataFrame,
     keys: Sequence[str] = (),
     day: str = "day",
-    span: Period | None = None,
 ) -> DataFrame:
     """Holiday and business-day flags, and the business day's number in its month.
 
     Numbers count the days that are present: fill gaps first where that matters.
     """
-    out = with_weekday(flag_days(df, holidays, "holiday", day, span), day)
+    out = with_weekday(flag_days(df, holidays, "holiday", day), day)
     working = (F.col("weekday") <= 5) & ~F.col("holiday")
     out = out.withColumns({"business_day": working, "_month": F.trunc(day, "month")})
     month = Window.partitionBy(*keys, "_month").orderBy(day)

@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows of a literal table travel with the plan, so the size is known before it runs.
-INLINE_LIMIT = 1_000
-
 
 def inline(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
-    """A small literal table, such as figures taken from a publication."""
-    rows = list(rows)
-    if len(rows) > INLINE_LIMIT:
-        raise ValueError(f"{len(rows)} rows are not a literal table; read them from a source")
+    """A small literal table, such as figures taken from a publication.
+
+    Its rows travel with the plan; read larger tables from a source.
+    """
     fields = T.StructType.fromDDL(schema).fields
     literals = [
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
         for row in rows
     ]
+    if not literals:
+        return spark.createDataFrame([], schema)
     # Literals stay in the JVM; rows made from Python objects would need a Python stage.
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*literals)))
 

@@ -57,9 +57,16 @@ def key_report(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def gap_report(df: DataFrame, day: str = "day", keys: Sequence[str] = ()) -> DataFrame:
-    """Is every series contiguous?  Totals over all series, one row."""
-    per_series = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(day).alias("_first"), F.max(day).alias("_last")
+    """Is every series contiguous?  Totals over all series, one row.
+
+    Distinct days are compared with the span, so a repeated day cannot hide a gap.
+    """
+    per_day = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
+    per_series = per_day.groupBy(*keys).agg(
+        F.sum("_n").alias("_n"),
+        F.count(day).alias("_days"),
+        F.min(day).alias("_first"),
+        F.max(day).alias("_last"),
     )
     expected = F.coalesce(span_days("_first", "_last"), F.lit(0)).cast("bigint")
     sized = per_series.withColumn("_expected", expected)
@@ -67,7 +74,7 @@ def gap_report(df: DataFrame, day: str = "day", keys: Sequence[str] = ()) -> Dat
         F.count(F.lit(1)).alias("series"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum("_expected"), F.lit(0)).alias("days_in_span"),
-        count_where(F.col("_n") != F.col("_expected")).alias("series_with_gaps"),
+        count_where(F.col("_days") != F.col("_expected")).alias("series_with_gaps"),
     ).withColumn("contiguous", F.col("series_with_gaps") == 0)
 
 
@@ -130,7 +137,8 @@ def series_report(
     )
     per_series = per_day.groupBy(*keys).agg(
         F.sum("_n").alias("_n"),
-        F.count(F.lit(1)).alias("_days"),
+        F.count(F.lit(1)).alias("_distinct"),
+        F.count(day).alias("_days"),
         F.sum("_nulls").alias("_nulls"),
         F.min(day).alias("_first"),
         F.max(day).alias("_last"),
@@ -140,8 +148,8 @@ def series_report(
     return per_series.agg(
         F.coalesce(F.sum("_n"), zero).alias("rows"),
         F.coalesce(F.sum("_nulls"), zero).alias("null_rows"),
-        F.coalesce(F.sum(F.col("_n") - F.col("_days")), zero).alias("duplicate_rows"),
-        count_where(F.col("_n") != expected).alias("series_with_gaps"),
+        F.coalesce(F.sum(F.col("_n") - F.col("_distinct")), zero).alias("duplicate_rows"),
+        count_where(F.col("_days") != expected).alias("series_with_gaps"),
         F.min("_first").alias("first_day"),
         F.max("_last").alias("last_day"),
     )

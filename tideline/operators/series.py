@@ -64,23 +64,24 @@ def densify(
     Each row emits itself and the empty days up to the next row, so one window
     pass over each series replaces a join against a date spine; a series has at
     most one row per calendar day. Without ``start``/``end`` each
-    series keeps its own first and last day. Inserted rows carry ``fill``
-    values, NULL elsewhere, and ``inserted = true``.
+    series keeps its own first and last day; with both, every series covers the whole
+    period, also one whose days all lie outside it. A repeated day keeps all its rows.
+    Inserted rows carry ``fill`` values, NULL elsewhere, and ``inserted = true``.
     """
     in_order = Window.partitionBy(*keys).orderBy(day)
     one = F.expr("INTERVAL 1 DAY")
-    reach = F.date_sub(F.lead(day).over(in_order), 1)
+    opens = F.lag(day).over(in_order).isNull()
+    following = F.lead(day).over(in_order)
+    reach = F.when(following.isNotNull(), F.greatest(F.date_sub(following, 1), day))
     first = F.col(day)
     if start is not None:
-        df = df.filter(F.col(day) >= F.lit(start))
-        first = F.when(F.lag(day).over(in_order).isNull(), F.lit(start)).otherwise(F.col(day))
+        first = F.when(opens, F.lit(start)).otherwise(F.greatest(day, F.lit(start)))
     if end is not None:
-        df = df.filter(F.col(day) <= F.lit(end))
-        reach = F.coalesce(reach, F.lit(end))
+        reach = F.least(F.coalesce(reach, F.lit(end)), F.lit(end))
     else:
         reach = F.coalesce(reach, F.col(day))
 
-    spread = df.withColumns({"_first": first, "_last": reach}).withColumn(
+    spread = df.withColumns({"_first": first, "_last": reach}).filter("_first <= _last").withColumn(
         "_day", F.explode(F.sequence("_first", "_last", one))
     )
     own = F.col("_day") == F.col(day)

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 Period = tuple[date, date]
 
-# A few megabytes of dates.
-BROADCAST_SPAN_DAYS = 200_000
-
 
 def window_profile(
     calendar: DataFrame, kind: str = "kind", start: str = "start_day", end: str = "end_day"
@@ -86,14 +83,9 @@ def expand_windows(
     )
 
 
-def _flag(
-    df: DataFrame, unique_days: DataFrame, name: str, day: str, span: Period | None
-) -> DataFrame:
-    # Unique days inside a span cannot outnumber the span, so they are broadcast when
-    # that bound is small. Without a span the join is left to the sizes Spark measures.
+def _flag(df: DataFrame, unique_days: DataFrame, name: str, day: str) -> DataFrame:
+    # Unique days are few; how they are joined is left to the sizes Spark measures.
     listed = unique_days.select(F.col(day).alias("_listed"))
-    if span is not None and (span[1] - span[0]).days < BROADCAST_SPAN_DAYS:
-        listed = F.broadcast(listed.filter(F.col("_listed").between(*map(F.lit, span))))
     joined = df.join(listed, F.col(day) == F.col("_listed"), "left")
     return joined.select(*df.columns, F.col("_listed").isNotNull().alias(name))
 
@@ -103,13 +95,9 @@ def flag_days(
     days: DataFrame,
     name: str,
     day: str = "day",
-    span: Period | None = None,
 ) -> DataFrame:
-    """Add a boolean: is the row's day among ``days``?  A day listed twice counts once.
-
-    ``span`` bounds the days of the series; days outside it are not flagged.
-    """
-    return _flag(df, days.select(day).distinct(), name, day, span)
+    """Add a boolean: is the row's day among ``days``?  A day listed twice counts once."""
+    return _flag(df, days.select(day).distinct(), name, day)
 
 
 def flag_windows(
@@ -118,12 +106,7 @@ def flag_windows(
     kind: str | None = None,
     name: str = "in_window",
     day: str = "day",
-    span: Period | None = None,
     **columns: str,
 ) -> DataFrame:
-    """Mark the days of a series that lie inside a window of the given kind.
-
-    ``span`` bounds the days of the series; days outside it are not flagged.
-    """
-    days = expand_windows(calendar, kind, within=span, day=day, **columns)
-    return _flag(df, days, name, day, span)
+    """Mark the days of a series that lie inside a window of the given kind."""
+    return _flag(df, expand_windows(calendar, kind, day=day, **columns), name, day)

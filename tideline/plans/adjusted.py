@@ -22,7 +22,6 @@ from tideline.plans.tables import (
     EVENT_DAY,
     HISTORY_24M,
     METRICS,
-    SERIES_SPAN,
     TARGETS,
     holidays,
     sales,
@@ -47,7 +46,7 @@ from tideline.plans.variations import dates
 def ext_business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_returnflag"]
     return with_business_days(
-        shipments(spark, sf_dir, keys), holidays(spark, sf_dir), keys, span=SERIES_SPAN
+        shipments(spark, sf_dir, keys), holidays(spark, sf_dir), keys
     )
 
 

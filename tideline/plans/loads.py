@@ -282,6 +282,15 @@ def upsert_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_daily(spark, path, stored.schema).select(*stored.columns)
 
 
+@query(f"{MERGED_SQL} SELECT action, count(*) AS rows FROM merged WHERE action <> 'kept' GROUP BY action")
+def upsert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the upsert of the stored table says it did."""
+    stored, batch = stored_and_batch(spark, sf_dir)
+    path = scratch_path(spark, "daily")
+    write_daily(stored, path)
+    return upsert_daily(spark, batch, path, KEYS, COMPARED)
+
+
 SEED = TableContract(
     columns=(
         Column("start_day", "date", required=True),

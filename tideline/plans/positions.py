@@ -266,11 +266,7 @@ def ext_weekday_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekday_means(shipments(spark, sf_dir), METRICS)
 
 
-@query(
-    _weekday_means_sql(
-        q.sales(["o_custkey"]), f"day BETWEEN {dates(HISTORY_24M)}", ("o_custkey",)
-    )
-)
+@query(_weekday_means_sql(q.sales(["o_custkey"]), keys=("o_custkey",)))
 def ext_weekday_means_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["o_custkey"]
-    return weekday_means(sales(spark, sf_dir, keys), METRICS, keys, HISTORY_24M)
+    return weekday_means(sales(spark, sf_dir, keys), METRICS, keys)

@@ -16,7 +16,7 @@ from tideline.operators.windows import (
 )
 from tideline.plans import sql as q
 from tideline.plans.registry import query
-from tideline.plans.tables import SERIES_SPAN, campaign_windows, shipments
+from tideline.plans.tables import campaign_windows, shipments
 
 WINDOWS = f"""
     SELECT day AS start_day, day + 6 AS end_day, o_orderpriority AS kind,
@@ -95,7 +95,6 @@ def window_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         shipments(spark, sf_dir),
         campaign_windows(spark, sf_dir),
         "1-URGENT",
-        span=SERIES_SPAN,
     )
 
 
@@ -122,7 +121,6 @@ def ext_inside_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
         shipments(spark, sf_dir),
         campaign_windows(spark, sf_dir),
         "1-URGENT",
-        span=SERIES_SPAN,
     )
     return inside_outside(flagged, "value", "in_window")
 
@@ -134,6 +132,5 @@ def ext_inside_outside_month_slot(spark: SparkSession, sf_dir: str) -> DataFrame
         shipments(spark, sf_dir),
         campaign_windows(spark, sf_dir),
         "1-URGENT",
-        span=SERIES_SPAN,
     ).withColumn("slot", F.floor((F.dayofmonth("day") - 1) / 7))
     return inside_outside(flagged, "quantity", "in_window", strata=["weekday", "slot"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.quality import GateError
+from tideline.session import remove_folder
 from tideline.sources import files
 from tideline.sources.contracts import EnvelopeLayout
 
@@ -39,6 +40,7 @@ def land_snapshot(
     envelopes = rows.select(F.array(F.struct(*fields)).alias(layout.array))
     envelopes.write.mode("errorifexists").option("ignoreNullFields", "false").json(hidden)
     if spark.read.text(f"{hidden}/part-*").isEmpty():
+        remove_folder(spark, hidden)
         raise GateError("the batch is empty")
     files.move(spark, hidden, path)
     return path

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.operators.merge import INSERT, UPDATE, merge_report, merge_rows
-from tideline.operators.quality import key_report, require
-from tideline.session import scratch_path
+from tideline.operators.compare import inline
+from tideline.operators.merge import INSERT, KEPT, UPDATE, merge_report, merge_rows
+from tideline.operators.quality import GateError, key_report, require
+from tideline.session import remove_folder, scratch_path
 from tideline.sources import files
 
 VERSION_PREFIX = "version"
-MONTH_LIST = 2_400  # two centuries
+REPORT = "action string, rows bigint"
+MONTH = "stored_month"  # the directories of a daily table; rows may have no such column
 
 
 def publish_version(df: DataFrame, directory: str, stamp: str | None = None) -> str:
@@ -48,22 +50,32 @@ def write_daily(df: DataFrame, path: str, day: str = "day") -> None:
     Rebalancing by month gives few files per month and still splits a month that
     is too large for one task.
     """
-    placed = df.withColumn("month", F.date_format(day, "yyyy-MM")).hint("rebalance", "month")
-    placed.write.mode("errorifexists").partitionBy("month").parquet(path)
+    _placed(df, day).hint("rebalance", MONTH).write.mode("errorifexists").partitionBy(MONTH).parquet(path)
 
 
 def read_daily(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A table written by ``write_daily``; ``schema`` is that of its rows."""
-    return spark.read.schema(T.StructType([*schema.fields]).add("month", "string")).parquet(path)
+    return spark.read.schema(T.StructType([*schema.fields]).add(MONTH, "string")).parquet(path)
+
+
+def _placed(df: DataFrame, day: str) -> DataFrame:
+    if MONTH in df.columns:
+        raise GateError(f"the column name {MONTH} is taken by the table's directories")
+    return df.withColumn(MONTH, F.date_format(day, "yyyy-MM"))
 
 
 def _in_months(df: DataFrame, months: DataFrame) -> DataFrame:
-    # A literal list prunes directories whatever the planner thinks of the batch.
-    # Months are few by nature; should they not be, a join takes over.
-    found = [row["month"] for row in months.limit(MONTH_LIST + 1).collect()]
-    if len(found) <= MONTH_LIST:
-        return df.filter(F.col("month").isin(*found))
-    return df.join(months, "month", "left_semi").select(*df.columns)
+    """Rows in any of the months: a literal range prunes directories, the join is exact."""
+    ends = months.agg(F.min(MONTH).alias("first"), F.max(MONTH).alias("last")).first()
+    ranged = df.filter(F.col(MONTH).between(F.lit(ends["first"]), F.lit(ends["last"])))
+    return ranged.join(months, MONTH, "left_semi").select(*df.columns)
+
+
+def _same_columns(stored: T.StructType, batch: T.StructType) -> None:
+    kinds = [{f.name: f.dataType.simpleString() for f in s if f.name != MONTH} for s in (stored, batch)]
+    if kinds[0] != kinds[1]:
+        differ = sorted(set(kinds[0].items()) ^ set(kinds[1].items()))
+        raise GateError(f"stored and new rows differ in their columns: {differ}")
 
 
 def upsert_daily(
@@ -74,41 +86,52 @@ def upsert_daily(
     compare: Sequence[str],
     day: str = "day",
 ) -> DataFrame:
-    """Upsert a batch into a table written by ``write_daily``; returns rows per action.
+    """Upsert a batch into a table written by ``write_daily``; returns how many rows of the
+    batch were inserted, updated or found unchanged.
 
     Only months the batch touches are read, and of those only months with an
-    insert or an update are rewritten; everything else stays as it is.
+    insert or an update are rewritten; everything else stays as it is. ``day`` must be
+    among the keys, as a row that moves to another month would not meet its old self, and
+    both sides must have the same columns and types; otherwise nothing is written.
 
     The batch is computed once and written to the shared folder, and so are the
     merged months. Checks, report and rewrite read those copies: none of them
     depends on files the rewrite replaces, and a lost executor costs a task, not
-    the result. Running the same batch again finishes a rewrite cut short.
+    the result. Running the same batch again finishes a rewrite cut short; after
+    success the copies are removed.
     """
-    rows = batch.schema
+    if day not in keys:
+        raise ValueError(f"{day} must be one of the keys")
+    exists = files.exists(spark, path)
+    stored = spark.read.parquet(path).schema if exists else batch.schema
+    _same_columns(stored, batch.schema)
+    rows = T.StructType([f for f in stored if f.name != MONTH])
     batch_path = scratch_path(spark, "batch")
-    batch.withColumn("month", F.date_format(day, "yyyy-MM")).write.parquet(batch_path)
+    _placed(batch.select(*rows.names), day).write.parquet(batch_path)
     batch = read_daily(spark, batch_path, rows)
-    require(key_report(batch, keys))
-    if not files.exists(spark, path):
-        write_daily(batch.drop("month"), path, day)
-        return batch.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(INSERT).alias("action"), "rows"
-        )
+    checked = require(key_report(batch, keys))
+    if not exists:
+        write_daily(batch.drop(MONTH), path, day)
+        remove_folder(spark, batch_path)
+        return inline(spark, [(INSERT, checked["rows"])], REPORT)
 
-    touched = _in_months(read_daily(spark, path, rows), batch.select("month").distinct())
-    merged = merge_rows(touched, batch, keys, compare)
+    touched = _in_months(read_daily(spark, path, rows), batch.select(MONTH).distinct())
     merged_path = scratch_path(spark, "merged")
+    merged = merge_rows(touched, batch, keys, compare)
     merged.write.parquet(merged_path)
     merged = spark.read.schema(merged.schema).parquet(merged_path)
+    report = [(r["action"], r["rows"]) for r in merge_report(merged.filter(F.col("action") != KEPT)).collect()]
 
-    news = merged.filter(F.col("action").isin(INSERT, UPDATE)).select("month").distinct()
-    if not news.isEmpty():
+    if {INSERT, UPDATE} & {action for action, _ in report}:
+        news = merged.filter(F.col("action").isin(INSERT, UPDATE)).select(MONTH).distinct()
         (
             _in_months(merged.drop("action"), news)
-            .hint("rebalance", "month")
+            .hint("rebalance", MONTH)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("month")
+            .partitionBy(MONTH)
             .parquet(path)
         )
-    return merge_report(merged)
+    for done in (batch_path, merged_path):
+        remove_folder(spark, done)
+    return inline(spark, report, REPORT)
