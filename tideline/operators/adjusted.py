@@ -140,7 +140,9 @@ def before_after(
             for name, when in markers.items()
         ]
     )
-    near = df.withColumn(
+    first = min(markers.values()) - timedelta(days=days_before - 1)
+    last = max(markers.values()) + timedelta(days=days_after)
+    near = df.filter(within(day, (first, last))).withColumn(
         "_m",
         F.explode(F.filter(listed, lambda m: F.col(day).between(m["_from"], m["_to"]))),
     ).select(*df.columns, "_m.marker", "_m.marker_day")

@@ -37,10 +37,6 @@ def _baseline(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return rolling_weekday_baseline(shipments(spark, sf_dir, keys), METRICS, keys)
 
 
-def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lag_variation(shipments(spark, sf_dir), METRICS)
-
-
 def _by_year_sql(source: str, metric: str, keys: tuple[str, ...] = ()) -> str:
     return f"""
     SELECT {q.key_list(keys)}CAST(year(day) AS INTEGER) AS year, count(*) AS days,
@@ -132,7 +128,7 @@ WITH_UNKNOWN = (date(1995, 1, 1), date(1996, 6, 30))
 def distribution_with_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A period whose first year has no variation: those days stay in the count."""
     return distribution(
-        _yearly(spark, sf_dir),
+        lag_variation(shipments(spark, sf_dir), METRICS, only=WITH_UNKNOWN),
         "quantity_yoy_pct",
         ["weekday"],
         high=None,
@@ -203,10 +199,11 @@ SUPPLIER_BASELINE = q.baseline(q.shipments(["l_suppkey"]), ["l_suppkey"], "calen
 def position_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many targets per series: each is ranked, none is paired with its history."""
     keys = ["l_suppkey"]
+    targets = (date(2001, 6, 30), date(2001, 8, 31))
     series = rolling_weekday_baseline(
-        shipments(spark, sf_dir, keys), METRICS, keys, weeks=8, frame="calendar"
+        shipments(spark, sf_dir, keys), METRICS, keys, weeks=8, frame="calendar",
+        only=(HISTORY_24M[0], targets[1]),
     )
-    targets = (date(2001, 6, 30), date(2001, 8, 31))
     return position_in_history(series, "value_pct", targets, HISTORY, keys)
 
 

@@ -170,7 +170,7 @@ BOTH_COLUMNS = (
 
 @query(f"{BOTH_SQL} WHERE day BETWEEN {dates(TARGETS)} ORDER BY day")
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yearly = lag_variation(shipments(spark, sf_dir), METRICS)
+    yearly = lag_variation(shipments(spark, sf_dir), METRICS, only=TARGETS)
     recent = rolling_weekday_baseline(shipments(spark, sf_dir), METRICS)
     joined = join_side_by_side(
         yearly, recent.select("day", "quantity_pct", "value_pct"), ["day"]
