@@ -18,7 +18,8 @@ BANDS = 36
 ROWS = 4
 POSITIONS = 1 << 20
 STARS = 2
-ALIKE = 0.6  # share of equal coordinates that a pair outside the stars must reach
+COORDINATES = 576  # of a signature; the first ones make the bands
+ALIKE = 0.69  # share of equal coordinates, four bits of each, that a pair outside the stars must reach
 _WEIGHTS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -58,8 +59,8 @@ def circulant(shifts: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: shifts - 1]]), shifts)
 
 
-def signature(found: np.ndarray, shifted: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the bands of one set's signature, and a byte of each coordinate, eight to a number.
+def signature(found: np.ndarray, shifted: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bands of one set's signature, and four bits of each coordinate, sixteen to a number.
 
     The first permutation is a hash of the element, taken as a position; coordinate k is
     the least entry, over the set, of the second permutation shifted by k.
@@ -70,19 +71,20 @@ def signature(found: np.ndarray, shifted: np.ndarray, rows: int) -> tuple[np.nda
     least = shifted[at[:4096]].min(axis=0)
     for i in range(4096, len(at), 4096):
         np.minimum(least, shifted[at[i : i + 4096]].min(axis=0), out=least)
-    grid = least.reshape(-1, rows).astype(np.uint64)
+    grid = least[: bands * rows].reshape(bands, rows).astype(np.uint64)
     keys = mix(grid @ _WEIGHTS[:rows] + np.arange(len(grid), dtype=np.uint64) * _WEIGHTS[41])
-    return keys, (mix(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).view(np.int64)
+    bits = (mix(least.astype(np.uint64)) >> np.uint64(60)).astype(np.uint8)
+    return keys, (bits[::2] | bits[1::2] << 4).view(np.int64)
 
 
 def signatures(docs: DataFrame, text: str, doc_id: str, bands: int, rows: int) -> DataFrame:
-    """Per row: n_shingles, a 64-bit fingerprint of its set (``node``), its band keys and bytes of its signature."""
+    """Per row: n_shingles, a 64-bit fingerprint of its set (``node``), its band keys and bits of its signature."""
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tideline.llm.words import slices
 
-        shifted = circulant(bands * rows)
+        shifted = circulant(COORDINATES)
         for batch in batches:
             for words in slices(batch.column(1)):
                 sizes, nodes, keys, marks = [], [], [], []
@@ -90,7 +92,7 @@ def signatures(docs: DataFrame, text: str, doc_id: str, bands: int, rows: int) -
                 for found in shingle_sets(words):
                     sizes.append(len(found))
                     nodes.append(set_number(found))
-                    key, mark = signature(found, shifted, rows) if len(found) else none
+                    key, mark = signature(found, shifted, bands, rows) if len(found) else none
                     keys.append(key)
                     marks.append(mark)
                 yield pa.RecordBatch.from_arrays(
@@ -114,15 +116,14 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
 
 
-def _equal_coordinates(x: str, y: str, longs: int) -> Column:
-    """How many of the signature bytes of two columns agree: bytes of their difference that are zero."""
-    total = F.lit(0)
-    for i in range(longs):
-        folded = F.col(x)[i].bitwiseXOR(F.col(y)[i])
-        for bits in (4, 2, 1):  # the lowest bit of every byte becomes the union of its bits
-            folded = folded.bitwiseOR(F.shiftrightunsigned(folded, bits))
-        total = total + 8 - F.bit_count(folded.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
+def _equal_coordinates(x: str, y: str, coordinates: int) -> Column:
+    """How many four-bit coordinates of two columns agree: all but those whose difference has a bit."""
+    folded = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
+    fold = lambda bits: lambda d: d.bitwiseOR(F.shiftrightunsigned(d, bits))
+    for bits in (2, 1):  # the lowest bit of every four becomes their union
+        folded = F.transform(folded, fold(bits))
+    lowest = F.lit(0x1111111111111111)
+    return coordinates - F.aggregate(folded, F.lit(0), lambda n, d: n + F.bit_count(d.bitwiseAND(lowest)))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -198,8 +199,8 @@ def near_duplicates(
     against the one with most bucket mates and a random one; what that connects needs no further
     pair, so a bucket of n copies costs about n pairs. Between nodes of a bucket that
     are still in different components every pair is checked whose signatures agree in ALIKE
-    of their coordinates; a pair at the limit has them in 0.75 and falls short with a chance
-    of about one in a hundred thousand.
+    of their coordinates; a pair at the limit agrees in 0.766 on average and falls short
+    with a chance of about one in a hundred thousand.
 
     Null and empty texts have no shingles and are linked with nothing. Rows without an id
     have a null component and are kept; rows that share an id are compared by their texts,
@@ -233,7 +234,7 @@ def near_duplicates(
     open_ = _open(members, roots).join(classes.select("node", "marks"), "node")
     side = lambda i, a: [F.col("node").alias(i), F.col("n").alias(f"{a}_n"), F.col("root").alias(f"{i}_root"), F.col("marks").alias(f"{i}_marks")]
     x, y = open_.filter("root <> top").select("key", *side("x", "a")), open_.select("key", *side("y", "b"))
-    alike = _equal_coordinates("x_marks", "y_marks", bands * rows // 8) >= int(ALIKE * bands * rows)
+    alike = _equal_coordinates("x_marks", "y_marks", COORDINATES) >= int(ALIKE * COORDINATES)
     on = (x["key"] == y["key"]) & (F.col("x_root") != F.col("y_root")) & near & alike
     rest = x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "pairs")
