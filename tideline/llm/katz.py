@@ -26,11 +26,9 @@ END, START = np.uint64(1), np.uint64(2)  # in place of a word's fingerprint
 TALLIES = 2 * CUT + 4
 
 _SORTED = {"w", "h", "ref"}
-_SCHEMA = (
-    "kind int, bucket int, key long, n1 int, n2 int, n3 int, n4 int, n5 int, known int, s double, base double, "
-    "doc_id long, held boolean, n_tokens long, vals array<long>, payload binary"
-)
-STATS, DOCUMENT, INFO, FREQUENT, EVENTS = range(5)
+_SCHEMA = "kind int, bucket int, key long, vals array<long>, payload binary"
+STATS, TEXTS, FREQUENT, EVENTS = range(4)
+SUMS = ("n1", "n2", "n3", "n4", "n5", "known", "s", "base")
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -163,10 +161,31 @@ def by_bucket(rows: pa.RecordBatch | dict, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCHEMA.split(", ")])
 
 
-_TYPES = {
-    "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(),
-    "array<long>": pa.list_(pa.int64()), "binary": pa.binary(),
-}
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+
+
+def one_payload(kind: int, bucket: int, payload: bytes) -> pa.RecordBatch:
+    columns = {"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([payload], pa.binary())}
+    return by_bucket(columns, 1)
+
+
+def by_text(texts: np.ndarray, buckets: int, **sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums of texts, packed for the bucket that gathers each text."""
+    home = texts % buckets
+    order = np.argsort(home, kind="stable")
+    ends = np.searchsorted(home[order], np.arange(buckets + 1))
+    for bucket in np.unique(home).tolist():
+        part = order[ends[bucket] : ends[bucket + 1]]
+        yield one_payload(TEXTS, bucket, pack(ref=texts[part], **{k: v[part] for k, v in sums.items()}))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, list[dict]]]:
+    """The payloads of (bucket, payload) rows, by bucket."""
+    found: dict[int, list[dict]] = {}
+    for batch in batches:
+        for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found.setdefault(bucket, []).append(unpack(payload.as_py()))
+    return list(found.items())
 
 
 def count_bucket(payloads: list[dict], frequent: np.ndarray, frequent_counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -175,12 +194,9 @@ def count_bucket(payloads: list[dict], frequent: np.ndarray, frequent_counts: np
     from tideline.llm.words import mix
 
     join = lambda name: np.concatenate([p[name] for p in payloads])
-    info = join("info")
-    n = len(info)
-    yield by_bucket(
-        {"kind": pa.array(np.full(n, INFO, np.int32)), "key": pa.array(info), "doc_id": pa.array(join("info_id")),
-         "held": pa.array(join("info_held")), "n_tokens": pa.array(join("info_n").astype(np.int64))}, n
-    )
+    facts = {x: join(x) for x in ("info", "info_id", "info_held", "info_n")}
+    if len(facts["info"]):
+        yield one_payload(TEXTS, int(facts["info"][0] % buckets), pack(**facts))
     w = np.concatenate([np.repeat(p["w"], p["wn"]) for p in payloads])
     if not len(w):
         return
@@ -212,12 +228,9 @@ def count_bucket(payloads: list[dict], frequent: np.ndarray, frequent_counts: np
     add = lambda x, where=slice(None): np.bincount(text[where], x, minlength=len(texts))
     s = add(np.where(of_pair > CUT, np.log10(np.maximum(of_pair - ABOVE, ABOVE)), 0.0))
     s -= add(np.where((w != END) & (of_word > 0), np.log10(np.maximum(of_word, 1)), 0.0))
-    tallies = {f"n{r}": pa.array(np.bincount(text[of_pair == r], minlength=len(texts)).astype(np.int32)) for r in range(1, CUT + 1)}
-    yield by_bucket(
-        {"kind": pa.array(np.full(len(texts), DOCUMENT, np.int32)), "key": pa.array(texts), **tallies, "s": pa.array(s),
-         "known": pa.array(add((of_word > 0).astype(float)).astype(np.int32)), "base": pa.array(add(np.log10(of_word + 0.1)))},
-        len(texts),
-    )
+    tallies = {f"n{r}": small(np.bincount(text[of_pair == r], minlength=len(texts))) for r in range(1, CUT + 1)}
+    known = small(np.bincount(text, of_word > 0, minlength=len(texts)).astype(np.int64))
+    yield from by_text(texts, buckets, **tallies, known=known, s=s, base=add(np.log10(of_word + 0.1)))
 
     kept = first[counts > 0]
     histories, history = np.unique(h[kept], return_inverse=True)
@@ -242,9 +255,7 @@ def count_bucket(payloads: list[dict], frequent: np.ndarray, frequent_counts: np
             h=histories[a], **{f"t{i}": small(table[a, i]) for i in range(TALLIES)},
             eh=h[b], ref_=ref[b], c=small(of_word[b]),
         )
-        yield by_bucket(
-            {"kind": pa.array([EVENTS], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([payload], pa.binary())}, 1
-        )
+        yield one_payload(EVENTS, bucket, payload)
 
 
 def back_off(payloads: list[dict], frequent_weights: tuple, factors: np.ndarray, words: Unigrams) -> tuple[np.ndarray, np.ndarray]:
@@ -326,11 +337,7 @@ def katz_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             yield from flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[dict]] = {}
-        for batch in batches:
-            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found.setdefault(bucket, []).append(unpack(payload.as_py()))
-        for payloads in found.values():
+        for _, payloads in unpacked(batches):
             yield from count_bucket(payloads, frequent, frequent_counts, buckets)
 
     numbered = base.withColumn("ref", F.monotonically_increasing_id())
@@ -359,36 +366,42 @@ def katz_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     heads = (heads, *backoff(np.array([r[1:] for r in tallied], float).reshape(-1, TALLIES), factors, unigrams))
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[dict]] = {}
-        for batch in batches:
-            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found.setdefault(bucket, []).append(unpack(payload.as_py()))
-        for payloads in found.values():
+        for _, payloads in unpacked(batches):
             ref, score = back_off(payloads, heads, factors, unigrams)
             texts, text_ = np.unique(ref, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.bincount(text_, score, minlength=len(texts)))], ["key", "s"])
+            for row in by_text(texts, buckets, s=np.bincount(text_, score, minlength=len(texts))):
+                yield row.select(["bucket", "payload"])
 
-    events = model.filter(f"kind = {EVENTS}").select("bucket", "payload").repartitionById(buckets, F.col("bucket"))
-    more = events.mapInArrow(unseen, "key long, s double")
-    sums = ["n1", "n2", "n3", "n4", "n5", "known", "s", "base"]
-    rows = model.filter(f"kind IN ({DOCUMENT}, {INFO})").select("key", *sums, "doc_id", "held", "n_tokens")
-    rows = rows.unionByName(more, allowMissingColumns=True)
-    scored = rows.groupBy("key").agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums), *(F.max(c).alias(c) for c in ("doc_id", "held", "n_tokens"))
-    )
     logs = np.log10(factors * np.arange(1, CUT + 1))
-    score = F.col("s") - F.lit(float(np.log10(max(facts["train"] or 0, 1))))
-    for r in range(CUT):
-        score = score + F.col(f"n{r + 1}") * F.lit(float(logs[r]))
+    starts = float(np.log10(max(facts["train"] or 0, 1)))
     below = float(np.log10(total + 0.1 * (vocabulary + 1)))
-    return scored.select(
-        F.when(F.col("doc_id") != np.iinfo(np.int64).min, F.col("doc_id")).alias("doc_id"),
-        F.col("held").alias("held_out"),
-        "n_tokens",
-        F.col("known").cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(below)).alias("base_score"),
-        score.alias("score"),
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, payloads in unpacked(batches):
+            info = [p for p in payloads if "info" in p]
+            refs, ids, held, n = (np.concatenate([p[x] for p in info]) for x in ("info", "info_id", "info_held", "info_n"))
+            order = np.argsort(refs)
+            sums = {x: np.zeros(len(refs)) for x in SUMS}
+            for p in payloads:
+                at = order[np.searchsorted(refs[order], p["ref"])] if "ref" in p else None
+                for x in SUMS:
+                    if x in p:
+                        sums[x][at] += p[x]
+            n = n.astype(np.int64)
+            score = sums["s"] - starts + sum(sums[f"n{r + 1}"] * logs[r] for r in range(CUT))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=ids == np.iinfo(np.int64).min), pa.array(held), pa.array(n),
+                 pa.array(sums["known"].astype(np.int64)), pa.array(np.full(len(n), total)),
+                 pa.array(sums["base"] - n * below), pa.array(score)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    events = model.filter(f"kind = {EVENTS}").select("bucket", "payload").repartitionById(buckets, F.col("bucket"))
+    more = events.mapInArrow(unseen, "bucket int, payload binary")
+    texts = model.filter(f"kind = {TEXTS}").select("bucket", "payload").unionByName(more)
+    return texts.repartitionById(buckets, F.col("bucket")).mapInArrow(
+        finish,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 
 
