@@ -100,3 +100,10 @@ def test_quality_without_labels_or_rows(docs, labels):
 def test_absent_metadata(spark, labels):
     frame = spark.createDataFrame([(1, "good words"), (2, "x")], "doc_id long, text string")
     assert cotraining.accepted(frame, cotraining.train(frame, labels([(1, 1, 0), (2, 0, 0)]))).columns == ["doc_id", "text"]
+
+
+def test_labelled_and_other_rows_are_one_sample(docs, labels):
+    """Both sides of the sample have the same columns, so labels and texts without one train together."""
+    frame = docs([(i, "good plain words here" if i % 2 else "BAD!! BAD!! BAD!!") for i in range(60)])
+    model = cotraining.train(frame, labels([(i, i % 2, 0) for i in range(40)]))
+    assert all(r["accepted"] == bool(r["doc_id"] % 2) for r in cotraining.classify(frame, model).collect())

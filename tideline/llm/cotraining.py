@@ -221,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     # a row labelled more than once counts once, with its lowest label
     known = known.groupBy("id").agg(F.min("label").alias("label"))
     picked = sampled(known, "id", MOST_LABELLED, known.count(), 1)
-    labelled = base.join(F.broadcast(picked), "id")  # ids within MOST_LABELLED.select("label", "text", "source", "lang", "n_chars")
+    # ids within MOST_LABELLED
+    labelled = base.join(F.broadcast(picked), "id").select("label", "text", "source", "lang", "n_chars")
     others = sampled(base, "id", MOST_UNLABELLED, base.count(), 2).join(known, "id", "left_anti")
     others = others.select(F.lit(-1).alias("label"), "text", "source", "lang", "n_chars")
     rows = sorted((tuple(r["measures"]), tuple(r["buckets"]), r["label"]) for r in _examples(labelled.unionByName(others)).toLocalIterator())
