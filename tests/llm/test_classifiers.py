@@ -107,3 +107,12 @@ def test_labelled_and_other_rows_are_one_sample(docs, labels):
     frame = docs([(i, "good plain words here" if i % 2 else "BAD!! BAD!! BAD!!") for i in range(60)])
     model = cotraining.train(frame, labels([(i, i % 2, 0) for i in range(40)]))
     assert all(r["accepted"] == bool(r["doc_id"] % 2) for r in cotraining.classify(frame, model).collect())
+
+
+def test_a_toxic_passage_in_a_long_text_counts(corpus, docs):
+    rows, frame, labels = corpus
+    clean = prose(np.random.default_rng(8), 20_000)
+    passage = clean[:60_000] + " You Moronzzz, vile " + clean[60_000:]
+    model = toxicity.train(frame, labels)
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs([(1, clean), (2, passage)]), model).collect()}
+    assert found[2] > 0.7 > found[1]

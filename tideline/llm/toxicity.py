@@ -19,7 +19,7 @@ MOST_UNLABELLED = 12_000
 SPACE = 1 << 32
 SIEVE = 1 << 20
 PREFIXES = (4, 5, 6)
-USUAL_LENGTH = 2_000  # letter runs; beyond it, occurrences count by their rate
+USUAL_LENGTH = 2_000  # letter runs; beyond it, repeated occurrences count by their rate
 LEVELS = ((1, 0), (2, 0x3C6EF362), (4, 0x78DDE6C4))  # occurrences, and what marks a feature reached so often
 KEPT_FEATURES = 4_096
 LEAST_Z = 6.0  # a million features reach 5 by chance
@@ -43,7 +43,7 @@ class PuModel:
 
 def features(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, feature) of every letter run in the slice and of its first 4, 5 and 6 bytes, A-Z
-    in lower case; and per text how often counts must be reached, more in longer texts."""
+    in lower case; and per text how often counts above one must be reached, more in longer texts."""
     from tideline.llm.words import hash_spans, spans
 
     starts, ends = spans(words.buffer, ~_LETTERS)
@@ -60,10 +60,12 @@ def features(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def levelled(texts: np.ndarray, found: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """text * SPACE + feature, distinct and ascending, with a feature of its own for being
-    found twice and four times: a stem that clean texts hit by chance is dense in toxic ones."""
+    found twice and four times: a stem that clean texts hit by chance is dense in toxic ones.
+
+    Whatever occurs counts at the first level; only the levels above go by the rate in long texts."""
     pairs, times = np.unique(texts * SPACE + found, return_counts=True)
-    times = times / scale[pairs // SPACE]
-    return np.sort(np.concatenate([pairs[times >= least] ^ mark for least, mark in LEVELS]))
+    rate = times / scale[pairs // SPACE]
+    return np.sort(np.concatenate([pairs[rate >= least] ^ mark if mark else pairs for least, mark in LEVELS]))
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
