@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tideline.llm import katz
 from tideline.llm.katz import ABOVE, CUT, discounts, katz_scores
 
 
@@ -81,3 +82,27 @@ def test_nothing_to_learn_from(docs):
     assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"]) == (True, 3, 0, 0)
     assert row["score"] == row["base_score"] == pytest.approx(0)
     assert katz_scores(docs([])).collect() == []
+
+
+def test_hot_bigrams_are_spread_by_text(docs, monkeypatch):
+    """A word of which few texts have very much; no bucket gets all of its bigram, and scores stay right."""
+    monkeypatch.setattr(katz, "HOT_LEAST", 50)
+    rows = [(i, f"a{i % 7} b{i % 11} c{i} a{i % 7}") for i in range(300)] + [(1000 + i, "hot " * 400) for i in range(30)]
+    rows += [(2000 + 10 * i, "x y " * 30) for i in range(9)]
+    frame = docs(rows).selectExpr("text", "doc_id", "pmod(crc32(cast(cast(doc_id AS string) AS binary)), 10) = 0 AS held")
+    frequent, _, hot = katz._frequent(frame, 8)
+    import pyarrow as pa
+    from tideline.llm.words import slices
+
+    (words,) = slices(pa.array([t for _, t in rows]))
+    h, w, text = katz.bigrams(words)
+    n = len(rows)
+    dealt = list(katz.deal(np.zeros(n, bool), np.arange(n), np.arange(n), h, w, text, frequent, hot, 8))
+    sizes = [int(p["wn"].astype(int).sum()) for p in (katz.unpack(x) for _, x in dealt)]
+    assert sum(sizes) == len(w) and max(sizes) < 0.4 * len(w)
+    brute = Brute(rows)
+    texts = dict(rows)
+    for r in katz_scores(docs(rows)).collect():
+        n_tokens, known, base, score = brute.row(r["doc_id"], texts[r["doc_id"]])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n_tokens, known, brute.n)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)

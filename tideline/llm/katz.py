@@ -12,14 +12,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.durable import written
-from tideline.llm.sampling import fold, sampled
+from tideline.llm.durable import discard, written
+from tideline.llm.sampling import fold
 
 FOLDS, HELD_OUT = 10, 0
 CUT = 5  # counts up to this are discounted by Good-Turing
 ABOVE = 0.1  # taken from every larger count, so that each history can back off
-MOST_SAMPLED = 2_000  # texts that tell which words are frequent
 MOST_FREQUENT = 4_096
+HOT_LEAST = 10_000  # occurrences from which a bigram may be spread over all buckets
 BUCKET_BYTES = 16 << 20  # of text per bucket of the model
 FLUSH = 3_000_000  # tokens that a task gathers before it deals them out
 END, START = np.uint64(1), np.uint64(2)  # in place of a word's fingerprint
@@ -101,6 +101,16 @@ def backoff(tallies: np.ndarray, factors: np.ndarray, words: Unigrams) -> tuple[
     return count, left / (1 - covered)
 
 
+@dataclass(frozen=True)
+class Hot:
+    """Bigrams that no single bucket may hold, ascending by ``keys``, with their training counts."""
+
+    keys: np.ndarray
+    h: np.ndarray
+    w: np.ndarray
+    counts: np.ndarray
+
+
 def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
     from tideline.llm.words import mix
 
@@ -123,12 +133,31 @@ def bigrams(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, w, text
 
 
-def deal(held: np.ndarray, refs: np.ndarray, ids: np.ndarray, h, w, text, frequent, buckets: int) -> Iterator[tuple]:
+def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One fingerprint for a history and a word."""
+    from tideline.llm.words import mix
+
+    return mix(mix(w) + h * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def hot_counts(h: np.ndarray, w: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """Which bigrams are hot, and the training count of those."""
+    if not len(hot.keys):
+        return np.zeros(len(w), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(hot.keys, key := pair_key(h, w)), len(hot.keys) - 1)
+    found = (hot.keys[at] == key) & (hot.h[at] == h) & (hot.w[at] == w)
+    return found, hot.counts[at[found]]
+
+
+def deal(held: np.ndarray, refs: np.ndarray, ids: np.ndarray, h, w, text, frequent, hot: Hot, buckets: int) -> Iterator[tuple]:
     """(bucket, payload) of a run of texts: tokens go to the bucket of their word, those of a
-    frequent word to that of the bigram; a text's own facts go to the bucket of its number."""
+    frequent word to that of the bigram, those of a hot bigram to that of bigram and text;
+    a text's own facts go to the bucket of its number."""
     from tideline.llm.words import mix
 
     key = np.where(is_in(w, frequent), mix(w) + h, w)
+    spread, _ = hot_counts(h, w, hot)
+    key[spread] = mix(key[spread]) + refs[text[spread]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     at = bucket_of(key, buckets)
     order = np.argsort(small(at), kind="stable")
     ends = np.searchsorted(at[order], np.arange(buckets + 1))
@@ -188,11 +217,29 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, list[dict]]]:
     return list(found.items())
 
 
-def count_bucket(payloads: list[dict], frequent: np.ndarray, frequent_counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def binned(counts: np.ndarray) -> np.ndarray:
+    """How many counts are 1 to CUT + 1."""
+    return np.bincount(np.minimum(counts, CUT + 1 + (counts > CUT + 1)), minlength=CUT + 3)[1 : CUT + 2]
+
+
+def followers(h: np.ndarray, of_pair: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Histories and their tallies from bigrams, each given once with its count and its word's."""
+    histories, history = np.unique(h, return_inverse=True)
+    table = np.zeros((len(histories), TALLIES), np.int64)
+    for at, c in ((0, of_pair), (CUT + 2, of_word)):
+        np.add.at(table, (history, at + np.minimum(c, CUT + 1) - 1), 1)
+        table[:, at + CUT + 1] = np.bincount(history, np.where(c > CUT, c, 0), minlength=len(histories))
+    return histories, table
+
+
+def count_bucket(
+    payloads: list[dict], frequent: np.ndarray, frequent_counts: np.ndarray, hot: Hot, buckets: int
+) -> Iterator[pa.RecordBatch]:
     """What one bucket of the model knows, as rows of _SCHEMA: counts of counts; per text the counts
-    of its tokens; per history its followers; and held-out bigrams that training has not."""
-    from tideline.llm.words import mix
+    of its tokens; per history its followers; and held-out bigrams that training has not.
 
+    A hot bigram is in many buckets: its count is given, and the driver adds it to the tables.
+    """
     join = lambda name: np.concatenate([p[name] for p in payloads])
     facts = {x: join(x) for x in ("info", "info_id", "info_held", "info_n")}
     if len(facts["info"]):
@@ -209,18 +256,16 @@ def count_bucket(payloads: list[dict], frequent: np.ndarray, frequent_counts: np
     often = is_in(words, frequent)
     own[often] = frequent_counts[np.searchsorted(frequent, words[often])]
     of_word = own[word]
-    order = np.argsort(mix(mix(w) + h * np.uint64(0xC2B2AE3D27D4EB4F)))
+    order = np.argsort(pair_key(h, w))
     w, h, ref, train, of_word = w[order], h[order], ref[order], train[order], of_word[order]
     first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])]))
     counts = np.add.reduceat(train.astype(np.int64), first)
+    spread, known_counts = hot_counts(h[first], w[first], hot)
+    counts[spread] = known_counts
     of_pair = np.repeat(counts, np.diff(np.append(first, len(w))))
 
     rare = own[~often]
-    stats = [
-        *np.bincount(np.minimum(counts, CUT + 1 + (counts > CUT + 1)), minlength=CUT + 3)[1 : CUT + 2],
-        *np.bincount(np.minimum(rare, CUT + 1 + (rare > CUT + 1)), minlength=CUT + 3)[1 : CUT + 2],
-        (rare > CUT).sum(), (rare > 0).sum(), train.sum(),
-    ]
+    stats = [*binned(counts[~spread]), *binned(rare), (rare > CUT).sum(), (rare > 0).sum(), train.sum()]
     stats = np.array(stats).astype(np.int64)
     yield by_bucket({"kind": pa.array([STATS], pa.int32()), "vals": pa.array([stats.tolist()], pa.list_(pa.int64()))}, 1)
 
@@ -232,12 +277,8 @@ def count_bucket(payloads: list[dict], frequent: np.ndarray, frequent_counts: np
     known = small(np.bincount(text, of_word > 0, minlength=len(texts)).astype(np.int64))
     yield from by_text(texts, buckets, **tallies, known=known, s=s, base=add(np.log10(of_word + 0.1)))
 
-    kept = first[counts > 0]
-    histories, history = np.unique(h[kept], return_inverse=True)
-    table = np.zeros((len(histories), TALLIES), np.int64)
-    for at, c in ((0, of_pair[kept]), (CUT + 2, of_word[kept])):
-        np.add.at(table, (history, at + np.minimum(c, CUT + 1) - 1), 1)
-        table[:, at + CUT + 1] = np.bincount(history, np.where(c > CUT, c, 0), minlength=len(histories))
+    kept = first[(counts > 0) & ~spread]
+    histories, table = followers(h[kept], of_pair[kept], of_word[kept])
     often = is_in(histories, frequent)
     yield by_bucket(
         {"kind": pa.array(np.full(often.sum(), FREQUENT, np.int32)), "key": pa.array(histories[often].view(np.int64)),
@@ -292,8 +333,8 @@ def katz_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     its words, so counts, counts of counts and the sums of every text come from one
     shuffle, and the tables of the model (counts per text, followers per history) are
     stored by kind. Only held-out bigrams that training lacks go on, to the bucket of their
-    history. Words of a bounded list of frequent ones are spread over all buckets;
-    their counts and weights are the only broadcast.
+    history. Frequent words are spread over all buckets by bigram, and hot bigrams by text;
+    the counts and weights of these bounded lists, taken from all texts, are the only broadcast.
 
     A null text is an empty one: a single end. Ids are integers; a null id is in the training
     part. Repeated rows count and are scored each. Without training rows both scores are 0.
@@ -303,10 +344,10 @@ def katz_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), (fold(doc_id, FOLDS) == HELD_OUT).alias("held")
     )
     facts = base.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.sum((~F.col("held")).cast("long")).alias("train")
+        F.sum(F.octet_length("text")).alias("bytes"), F.sum((~F.col("held")).cast("long")).alias("train")
     ).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(facts["bytes"] or 0) // BUCKET_BYTES))
-    frequent, frequent_counts = _frequent(base, facts["n"])
+    frequent, frequent_counts, hot = _frequent(base, buckets)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tideline.llm.words import slices
@@ -315,7 +356,7 @@ def katz_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, w, of, refs, ids, held = (np.concatenate(x) for x in zip(*gathered))
-            for bucket, payload in deal(held, refs, ids, h, w, of, frequent, buckets):
+            for bucket, payload in deal(held, refs, ids, h, w, of, frequent, hot, buckets):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], ["bucket", "payload"])
 
         for batch in batches:
@@ -338,7 +379,7 @@ def katz_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, payloads in unpacked(batches):
-            yield from count_bucket(payloads, frequent, frequent_counts, buckets)
+            yield from count_bucket(payloads, frequent, frequent_counts, hot, buckets)
 
     numbered = base.withColumn("ref", F.monotonically_increasing_id())
     dealt = numbered.mapInArrow(emit, "bucket int, payload binary").repartitionById(buckets, F.col("bucket"))
@@ -348,7 +389,7 @@ def katz_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     sums = model.filter(f"kind = {STATS}").select(F.posexplode("vals").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
     for row in sums.collect():
         stats[row["i"]] = row["v"]
-    pairs, single = stats[: CUT + 1], stats[CUT + 1 : 2 * CUT + 2].copy()
+    pairs, single = stats[: CUT + 1] + binned(hot.counts), stats[CUT + 1 : 2 * CUT + 2].copy()
     big, vocabulary, total = int(stats[-3]), int(stats[-2]), int(stats[-1])
     for c in frequent_counts[frequent != START]:
         if c:
@@ -362,8 +403,13 @@ def katz_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     tallied = model.filter(f"kind = {FREQUENT}").groupBy("key").agg(
         *(F.sum(F.element_at("vals", i + 1)).alias(f"t{i}") for i in range(TALLIES))
     ).collect()
-    heads = np.array([r["key"] for r in tallied], np.int64).view(np.uint64)
-    heads = (heads, *backoff(np.array([r[1:] for r in tallied], float).reshape(-1, TALLIES), factors, unigrams))
+    seen = hot.counts > 0
+    more, table = followers(hot.h[seen], hot.counts[seen], frequent_counts[np.searchsorted(frequent, hot.w[seen])])
+    every = np.concatenate([np.array([r["key"] for r in tallied], np.int64).view(np.uint64), more])
+    heads, at = np.unique(every, return_inverse=True)
+    tallies = np.zeros((len(heads), TALLIES))
+    np.add.at(tallies, at, np.concatenate([np.array([r[1:] for r in tallied], float).reshape(-1, TALLIES), table]))
+    heads = (heads, *backoff(tallies, factors, unigrams))
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, payloads in unpacked(batches):
@@ -405,37 +451,64 @@ def katz_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
 
 
-def _frequent(base: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words that are more than one in MOST_FREQUENT tokens of a sample, with START and END, and
-    how often each is in the whole training part (START: as a history)."""
+def _frequent(base: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, Hot]:
+    """Frequent words, with START and END, hot bigrams, and how often each is in the whole
+    training part (START: as a history).
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A run of tokens in a task names what makes up half of 1 / share of it, so the sums of
+    what was named miss less than that of anything: whatever is more than one in ``share``
+    tokens of all texts is found, wherever it is, and at most 2 * share bigrams are.
+    """
+    share = max(MOST_FREQUENT, buckets)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tideline.llm.words import slices
 
         for batch in batches:
             for words in slices(batch.column(0)):
-                found, times = np.unique(words.hashes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["word", "times"])
-
-    sample = sampled(base, "doc_id", MOST_SAMPLED, rows, 4).select("text").mapInArrow(words_of, "word long, times long")
-    counted = sample.groupBy("word").agg(F.sum("times").alias("times"))
-    every = counted.agg(F.sum("times").alias("all")).first()["all"] or 0
-    heads = counted.filter(F.col("times") * MOST_FREQUENT >= every).select("word").collect()
-    frequent = np.unique(np.array([END, START, *np.array([r["word"] for r in heads], np.int64).view(np.uint64)], np.uint64))
+                h, w, _ = bigrams(words)
+                size = len(w)
+                _, first, times = np.unique(pair_key(h, w), return_index=True, return_counts=True)
+                many = times * 2 * share >= size
+                found, often = np.unique(w, return_counts=True)
+                top = often * 2 * share >= size
+                h, w, n = h[first[many]], w[first[many]], times[many]
+                h, w, n = np.append(h, np.zeros(top.sum(), np.uint64)), np.append(w, found[top]), np.append(n, often[top])
+                single = np.arange(len(h)) >= many.sum()
+                columns = [pa.array(single), pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["single", "h", "w", "n"])
+                size = pa.array([size], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.bool_()), *(pa.array([0], pa.int64()),) * 2, size], ["single", "h", "w", "n"])
+
+    named = base.select("text").mapInArrow(name, "single boolean, h long, w long, n long").groupBy("single", "h", "w")
+    named = written(named.agg(F.sum("n").alias("n")), "katz-named")
+    every = named.filter("single IS NULL").agg(F.sum("n").alias("all")).first()["all"] or 0
+    top = named.filter(f"single IS NOT NULL AND n * 2 * {share} >= {every} AND (single OR n >= {HOT_LEAST})").collect()
+    discard(named)
+    as_keys = lambda x: np.array(x, np.int64).view(np.uint64)
+    hot_h, hot_w = (as_keys([r[x] for r in top if not r["single"]]) for x in ("h", "w"))
+    own = as_keys([r["w"] for r in top if r["single"]])
+    frequent = np.unique(np.concatenate([np.array([END, START], np.uint64), own, hot_h, hot_w]))
+    order = np.argsort(keys := pair_key(hot_h, hot_w))
+    hot = Hot(keys[order], hot_h[order], hot_w[order], np.arange(len(order)))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tideline.llm.words import slices
 
-        totals = np.zeros(len(frequent), np.int64)
+        totals, pairs = np.zeros(len(frequent), np.int64), np.zeros(len(hot.keys), np.int64)
         for batch in batches:
             totals[np.searchsorted(frequent, np.array([START, END]))] += batch.num_rows
             for words in slices(batch.column(0)):
                 at = np.minimum(np.searchsorted(frequent, words.hashes), len(frequent) - 1)
                 totals += np.bincount(at[frequent[at] == words.hashes], minlength=len(frequent))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(frequent))), pa.array(totals)], ["i", "n"])
+                if len(pairs):
+                    h, w, _ = bigrams(words)
+                    pairs += np.bincount(hot_counts(h, w, hot)[1], minlength=len(pairs))
+        totals = np.concatenate([totals, pairs])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(totals))), pa.array(totals)], ["i", "n"])
 
-    counts = np.zeros(len(frequent), np.int64)
+    counts = np.zeros(len(frequent) + len(hot.keys), np.int64)
     learned = base.filter("NOT held").select("text").mapInArrow(tally, "i long, n long")
     for row in learned.groupBy("i").agg(F.sum("n").alias("n")).collect():
         counts[row["i"]] = row["n"]
-    return frequent, counts
+    return frequent, counts[: len(frequent)], Hot(hot.keys, hot.h, hot.w, counts[len(frequent) :])
