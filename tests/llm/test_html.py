@@ -57,3 +57,19 @@ def test_templates_are_found_by_host(spark):
 def test_no_pages(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     assert extract_main_text(frame).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<p>Text <span class=ad>Buy</span> goes on</p>", "Text goes on"),
+        ("<div>prose<button>Share</button></div>", "prose"),
+        ("<div>Real text <span class=ad><div>x</div></span></div>", "Real text"),
+        ("<p>a <a class='promo' href=x>offer</a><b>b</b></p>", "a b"),
+        ("<p>a <svg><text>drawn</text></svg>b <svg/>c</p>", "a b c"),
+        ("<p>" + "\u0130" * 40 + "</p><script>x</script><p>kept</p>", "\u0130" * 40 + " kept"),
+        ("<p>\u0130\u0130</p><style>y</STYLE >abc", "\u0130\u0130 abc"),
+    ],
+)
+def test_inline_marks_and_raw_ends(page, expected):
+    assert text(page) == expected

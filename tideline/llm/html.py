@@ -64,27 +64,28 @@ def blocks(page: str) -> list[tuple[str, list[int], bool, bool, bool]]:
     """The page's text blocks outside unwanted parts, in order: text, hashes of the element
     subtrees around it, whether it is inside an article, inside main, and mostly links.
 
-    An element's hash covers its tag, its text and its descendants.
+    An element's hash covers its tag, its text and its descendants. Every run of text is
+    judged by the elements open where it stands, so inline ones count as much as blocks.
     """
     digests: list[int] = []
     parts: list[list[str]] = [[]]
     stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, element, unwanted, in article, in main
     found: list[tuple[str, tuple[int, ...], bool, bool, bool]] = []
-    pending: list[str] = []
-    linked = links = 0
+    pending: list[tuple[str, bool, bool]] = []  # text, unwanted, in a link
+    links = 0
 
     def flush() -> None:
-        nonlocal linked
         if pending:
-            text = " ".join("".join(pending).split())
+            text = " ".join("".join(t for t, _, _ in pending).split())
             if text:
                 parts[-1].append(text)
-                top = stack[-1] if stack else ("", -1, False, False, False)
-                if not top[2]:
+                wanted = " ".join("".join(t for t, unwanted, _ in pending if not unwanted).split())
+                if wanted:
+                    top = stack[-1] if stack else ("", -1, False, False, False)
                     path = tuple(s[1] for s in stack if s[1] >= 0)
-                    found.append((text, path, top[3], top[4], 2 * linked > len(text)))
+                    linked = sum(len(t) for t, unwanted, link in pending if link and not unwanted)
+                    found.append((wanted, path, top[3], top[4], 2 * linked > len(wanted)))
         pending.clear()
-        linked = 0
 
     def close() -> None:
         nonlocal links
@@ -96,7 +97,7 @@ def blocks(page: str) -> list[tuple[str, list[int], bool, bool, bool]]:
             digests[element] = own
             parts[-1].append(str(own))
 
-    at, raw = 0, page.lower() if "<" in page else ""
+    at = 0
     while at < len(page):
         token = _TOKEN.match(page, at)
         at = token.end()
@@ -105,9 +106,7 @@ def blocks(page: str) -> list[tuple[str, list[int], bool, bool, bool]]:
             text = token[0]
             if text[0] != "<" or text == "<":
                 text = unescape(text) if "&" in text else text
-                pending.append(text)
-                if links:
-                    linked += len(text)
+                pending.append((text, bool(stack) and stack[-1][2], links > 0))
             continue
         name, closing, attributes = name.lower(), token[1] or token[4], token[3] or token[6] or ""
         block = name in BLOCKS
@@ -122,10 +121,10 @@ def blocks(page: str) -> list[tuple[str, list[int], bool, bool, bool]]:
                 if stack[depth][0] in CONTAINERS and name in ("li", "p", "td", "tr", "dd", "dt"):
                     break
             continue
-        if name in VOID:
+        if name in VOID or name in ("svg", "math") and attributes.endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])").search(raw, at)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I | re.A).search(page, at)
             at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
             continue
         if name not in IN_HEAD and any(s[0] == "head" for s in stack) and name != "head":
