@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import cotraining, covertree, graph, html, katz, lines, minhash, mixing, packing, toxicity
+from tideline.llm import (
+    cotraining, covertree, graph, html, katz, language, lexical, lines, minhash, mixing, packing, resampling, toxicity,
+)
 from tideline.llm.durable import let_workers_import, written
 
 MAX_REPEATS = 1.5
@@ -69,6 +71,18 @@ def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(table(spark, sf_dir, "embeddings"), every=50, best=5)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_html_extraction": op2_html_extraction,
@@ -80,9 +94,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_graph_search": op10_graph_search,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": lines.LINES_SQL,
     "op9_mix_sources": mixing.MIXING_SQL.format(repeats=MAX_REPEATS, seed=SEED),
+    "op11_importance_resampling": resampling.RESAMPLING_SQL,
+    "op12_lexical_search": lexical.LEXICAL_SQL,
 }

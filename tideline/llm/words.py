@@ -84,8 +84,8 @@ def spans(buffer: np.ndarray, outside: np.ndarray = _ARE_SPACE) -> tuple[np.ndar
     return edges[::2], edges[1::2]
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[Words]:
-    """The words of all texts, in runs of about SLICE_BYTES; null is an empty text."""
+def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = True, outside: np.ndarray = _ARE_SPACE) -> Iterator[Words]:
+    """The words of all texts, in runs of about SLICE_BYTES; null is an empty text. The bytes ``outside`` are in no word."""
     for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
         chunk = chunk.cast(pa.large_string()).fill_null("")
         sizes = np.cumsum(pc.binary_length(chunk).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -99,7 +99,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[Wo
             data = run.buffers()[2]
             buffer = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
             buffer = buffer[offsets[0] : offsets[-1]]
-            starts, ends = spans(buffer)
+            starts, ends = spans(buffer, outside)
             bounds = np.searchsorted(starts, offsets - offsets[0])
             yield Words(at, hash_spans(buffer, starts, ends, lower), bounds, starts, ends, buffer, offsets - offsets[0])
             at = upto
