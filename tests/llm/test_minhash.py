@@ -57,6 +57,49 @@ def test_against_all_pairs(docs):
     assert sorted(tuple(r) for r in near_duplicates(docs(numbered)).collect()) == components(numbered)
 
 
+def test_many_texts_around_the_limit(docs, spark, monkeypatch):
+    """500 texts of one base, each pair at 0.70 to 0.76: no link is lost and no pair compared twice."""
+    from tideline.llm import minhash
+
+    compared = []
+    plain = minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda p, *rest: compared.append(p) or plain(p, *rest))
+    rng = np.random.default_rng(31)
+    base = text_of(rng, 1500)
+    rows = [(int(d), edited(rng, base, int(rng.integers(22, 28)))) for d in rng.permutation(500)]
+    found = sorted(tuple(r) for r in near_duplicates(docs(rows)).collect())
+    assert found == components(rows) and 1 < len({r[2] for r in found}) < 500
+    pairs = [tuple(r) for p in compared for r in p.collect()]
+    assert len(pairs) == len(set(pairs)) < 500 * 499 / 6
+
+
+def test_bitmaps_rule_out_no_similar_pair(docs, spark):
+    from pyspark.sql import functions as F
+
+    from tideline.llm.minhash import _may_be_similar, bitmap
+
+    rng = np.random.default_rng(6)
+    rows, truth = [], []
+    for n in (1, 3, 40, 63, 64, 65, 130, 700, 30_000):
+        for share in (0.3, 0.7, 0.74, 0.75, 0.76, 1.0):
+            both = max(1, int(n * share))
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[:both], rng.integers(0, 1 << 63, int(rng.integers(0, n - both + 1)), dtype=np.uint64)]))
+            rows.append((len(a), bitmap(a).tolist(), len(b), bitmap(b).tolist()))
+            common = len(np.intersect1d(a, b))
+            truth.append(100 * common >= 75 * (len(a) + len(b) - common))
+    frame = spark.createDataFrame(rows, "a_n long, a_bits array<long>, b_n long, b_bits array<long>")
+    told = [r[0] for r in frame.select(_may_be_similar("a", "b", 75)).collect()]
+    assert all(t for t, real in zip(told, truth) if real)
+    assert sum(t != real for t, real in zip(told, truth)) < len(truth) / 4
+
+
+def test_a_text_that_most_documents_hold(docs):
+    rows = [(i, "a b c d e f g") for i in range(10, 400)] + [(i, f"p{i} q r s t u") for i in range(400, 500)] + [(3, "a b c d e f g")]
+    found = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_duplicates(docs(rows)).collect()}
+    assert found == {i: (3, i == 3) for i, t in rows if t[0] == "a"} | {i: (i, True) for i in range(400, 500)}
+
+
 def test_odd_rows(docs):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (7, None), (8, ""), (9, "q " * 40_000)]
     found = sorted(near_duplicates(docs(rows)).collect(), key=repr)
