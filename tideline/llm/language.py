@@ -11,13 +11,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tideline.llm.batches import runs
-from tideline.llm.sampling import GRAIN, fold
+from tideline.llm.durable import written
+from tideline.llm.sampling import fold
 
 FOLDS, HELD_OUT = 4, 2
 PASSAGE = 512  # code points of a labelled text that are learned together
-PASSAGES = 96  # learned per language
+PASSAGES = 48  # learned per language
 BLOCK = 256  # bytes parsed by themselves
 UNKNOWN = "und"
 SHARPNESS = 16.0  # bits that make one language twice as likely as another
@@ -82,20 +84,21 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 def build(learned: tuple[bytes, ...]) -> Model:
     """The automata of all languages, over the bytes that any of them uses and one class for the others."""
     used = sorted(set(b"".join(learned)))
-    classes = np.full(256, len(used), np.int64)
+    classes = np.full(256, len(used), np.int32)
     classes[used] = np.arange(len(used))
     size = len(used) + 1
     tables, cost = [], []
     for text in learned:
+        # numbers below 4 * states * size, for samples of a few million bytes
         steps = suffix_automaton(classes[np.frombuffer(text, np.uint8)].tolist())
-        target = np.full((len(steps), size), -1, np.int64)
+        target = np.full((len(steps), size), -1, np.int32)
         for state, out in enumerate(steps):
             target[state, list(out)] = list(out.values())
         # A byte that does not go on ends the phrase and starts the next one, or is one if the text lacks it.
-        held = (np.arange(len(steps)) > 0)[:, None].astype(np.int64)
+        held = (np.arange(len(steps)) > 0)[:, None].astype(np.int32)
         stuck = np.where(target[0] >= 0, target[0] * size * 4 + held, held + 1)
         table = np.where(target >= 0, target * size * 4, stuck)
-        tables.append(table.ravel().astype(np.int32 if table.max() < 1 << 31 else np.int64))
+        tables.append(table.ravel())
         cost.append(math.log2(len(text) + 1))
     return Model(classes, tables, np.array(cost))
 
@@ -139,27 +142,49 @@ def learn(docs: DataFrame, text: str, doc_id: str, lang: str, passage: int, pass
 
     Every labelled text outside the held-out fold is cut into passages; those of smallest
     hash are taken, so that copies of a text count once and a long one no more than others.
+    Each task returns at most that many a language.
     """
-    spark = docs.sparkSession
     usable = docs.filter((fold(doc_id, FOLDS) != HELD_OUT) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    cut = F.explode(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{passage}}}"), F.lit(0)))
-    pieces = usable.select(F.col(lang).alias("lang"), cut.alias("piece")).select("*", F.xxhash64("piece").alias("h"))
-    sizes = pieces.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds"), F.count(F.lit(1)).alias("n")).collect()
-    if not sizes:
-        return {}
-    limits = [(r["lang"], min(GRAIN, int(GRAIN * 2 * passages / r["kinds"]) + 1)) for r in sizes]
-    limits = F.broadcast(spark.createDataFrame(limits, "lang string, upto long"))  # one row per language
-    few = pieces.join(limits, "lang").filter(F.pmod("h", F.lit(GRAIN)) < F.col("upto")).groupBy("lang", "h").agg(F.first("piece").alias("piece"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(GRAIN)), "h"))
-    sample = few.withColumn("place", place).filter(F.col("place") <= passages).orderBy("lang", "place").collect()
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, dict[int, str]] = {}
+        rows: dict[str, int] = {}
+        for batch in batches:
+            for at, run in runs(batch.column(1)):
+                for name, whole in zip(batch.column(0).slice(at, len(run)).to_pylist(), run.to_pylist()):
+                    rows[name] = rows.get(name, 0) + 1
+                    held = least.setdefault(name, {})
+                    for i in range(0, len(whole), passage):
+                        piece = whole[i : i + passage]
+                        held[xxh3_64_intdigest(piece.encode()) >> 1] = piece
+                        if len(held) > 20 * passages:
+                            held = least[name] = _smallest(held, passages)
+        for name, held in least.items():
+            held = _smallest(held, passages)
+            n = pa.array([rows[name]] + [0] * (len(held) - 1), pa.int64())
+            columns = [pa.array([name] * len(held)), pa.array(list(held), pa.int64()), pa.array(list(held.values())), n]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "h", "piece", "n"])
+
+    pieces = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    pieces = written(pieces.mapInArrow(sample, "lang string, h long, piece string, n long"), "passages")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    taken = pieces.groupBy("lang", "h").agg(F.first("piece").alias("piece")).withColumn("place", place)
+    sampled: dict[str, list[str]] = {}
+    for r in taken.filter(F.col("place") <= passages).orderBy("lang", "place").collect():
+        sampled.setdefault(r["lang"], []).append(r["piece"])
+    rows = pieces.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").collect()
     learned = {}
-    for r in sorted(sizes, key=lambda r: (-r["n"], r["lang"])):
-        data, bounds = folded(pa.array([s["piece"] for s in sample if s["lang"] == r["lang"]], pa.large_string()))
+    for name, _ in rows:
+        data, bounds = folded(pa.array(sampled[name], pa.large_string()))
         parts = [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        learned[r["lang"]] = bytes([_BREAK]).join(p for p in parts if p.strip())
+        learned[name] = bytes([_BREAK]).join(p for p in parts if p.strip())
     return {k: v for k, v in learned.items() if v}
 
 
+def _smallest(held: dict[int, str], n: int) -> dict[int, str]:
+    return {h: held[h] for h in sorted(held)[:n]}
+
+
 def identify(
     docs: DataFrame,
     text: str = "text",
