@@ -163,6 +163,7 @@ def test_reconcile_and_side_by_side(spark, series):
     assert joined.count() == 2
 
 
-def test_inline_is_bounded(spark):
-    with pytest.raises(ValueError):
-        inline(spark, [(i,) for i in range(1001)], "x int")
+def test_inline_of_many_and_of_no_rows(spark):
+    assert sorted(r.x for r in inline(spark, [(i,) for i in range(1001)], "x int").collect()) == list(range(1001))
+    empty = inline(spark, [], "x int, d date")
+    assert empty.collect() == [] and empty.dtypes == [("x", "int"), ("d", "date")]

@@ -24,15 +24,19 @@ def _quoted(*names: str) -> list[str]:
     return ["`" + name.replace("`", "``") + "`" for name in names]
 
 
-def _over(call: str, partition: Sequence[str], day: str, bounds: str) -> Column:
-    # Written as SQL because only there a range bound may be an interval. Ordering by
-    # the date itself lets all windows of a series share one sort; rangeBetween() takes
-    # numbers and would need an order of its own.
+def windowed(call: str, partition: Sequence[str], day: str, bounds: str) -> str:
+    """A call over the days of a partition, in order.
+
+    Written as SQL because only there a range bound may be an interval. Ordering by
+    the date itself lets all windows of a series share one sort; rangeBetween() takes
+    numbers and would need an order of its own.
+    """
     spread, order = ", ".join(_quoted(*partition)), _quoted(day)[0]
-    return F.expr(f"{call} OVER (PARTITION BY {spread} ORDER BY {order} {bounds})")
+    return f"{call} OVER (PARTITION BY {spread} ORDER BY {order} {bounds})"
 
 
-def _recent(weeks: int, frame: str) -> str:
+def frame_bounds(weeks: int, frame: str) -> str:
+    """The preceding same weekdays: so many rows, or so many weeks of the calendar."""
     if frame == "rows":
         return f"ROWS BETWEEN {int(weeks)} PRECEDING AND 1 PRECEDING"
     if frame == "calendar":
@@ -41,10 +45,11 @@ def _recent(weeks: int, frame: str) -> str:
     raise ValueError("frame is 'rows' or 'calendar'")
 
 
-def _row_days_ago(columns: Sequence[str], partition: Sequence[str], day: str, days: int) -> Column:
+def row_days_ago(columns: Sequence[str], partition: Sequence[str], day: str, days: int) -> str:
+    """The day ``days`` earlier and its ``columns``, found by a range of width zero."""
     fields = ", ".join([f"{_quoted(day)[0]} AS previous_day", *_quoted(*columns)])
     back = f"INTERVAL {int(days)} DAYS PRECEDING"
-    return _over(f"first(struct({fields}))", partition, day, f"RANGE BETWEEN {back} AND {back}")
+    return windowed(f"first(struct({fields}))", partition, day, f"RANGE BETWEEN {back} AND {back}")
 
 
 def rolling_weekday_baseline(
@@ -75,13 +80,13 @@ def rolling_weekday_baseline(
         df = df.filter(
             F.col(day).between(F.lit(only[0] - timedelta(days=7 * weeks)), F.lit(only[1]))
         )
-    group, bounds = [*keys, "weekday"], _recent(weeks, frame)
+    group, bounds = [*keys, "weekday"], frame_bounds(weeks, frame)
     means = {
-        f"{m}_mean": _over(f"avg({_quoted(m)[0]})", group, day, bounds).cast(MONEY)
+        f"{m}_mean": F.expr(windowed(f"avg({_quoted(m)[0]})", group, day, bounds)).cast(MONEY)
         for m in metrics
     }
     out = with_weekday(df, day).withColumns(
-        {**means, "base_weeks": _over("count(1)", group, day, bounds)}
+        {**means, "base_weeks": F.expr(windowed("count(1)", group, day, bounds))}
     )
     complete = F.col("base_weeks") == weeks
     out = out.withColumns(
@@ -120,12 +125,12 @@ def lag_variation(
     df = with_weekday(df, day)
     if days % 7 == 0:
         out = df.withColumn(
-            "_previous", _row_days_ago(metrics, [*keys, "weekday"], day, days)
+            "_previous", F.expr(row_days_ago(metrics, [*keys, "weekday"], day, days))
         )
     else:
         df = df.withColumn("_place", F.pmod(F.unix_date(F.col(day)), F.lit(days)))
         out = df.withColumn(
-            "_previous", _row_days_ago(metrics, [*keys, "_place"], day, days)
+            "_previous", F.expr(row_days_ago(metrics, [*keys, "_place"], day, days))
         ).drop("_place")
     added = {"previous_day": F.col("_previous.previous_day")}
     for m in metrics:
@@ -150,9 +155,8 @@ def variation_vs_recent(
     taken from the unrounded mean). NULL variations are skipped by the mean and
     the frame need not be complete.
     """
-    mean = _over(
-        f"avg({_quoted(metric)[0]})", [*keys, "weekday"], day, _recent(weeks, frame)
-    )
+    call = f"avg({_quoted(metric)[0]})"
+    mean = F.expr(windowed(call, [*keys, "weekday"], day, frame_bounds(weeks, frame)))
     out = with_weekday(df, day).withColumn("_mean", mean)
     return out.withColumns(
         {

@@ -18,13 +18,14 @@ from tideline.plans import sql as q
 from tideline.plans.registry import query
 from tideline.plans.tables import campaign_windows, read, shipments
 from tideline.plans.windows import WINDOWS
-from tideline.session import scratch_path
+from tideline.session import remove_folder, scratch_path
 from tideline.sources import snapshots
 from tideline.sources.contracts import (
     Column,
     EnvelopeField,
     EnvelopeLayout,
     TableContract,
+    text,
 )
 from tideline.sources.seeds import read_window_seed
 from tideline.sources.tables import (
@@ -32,6 +33,7 @@ from tideline.sources.tables import (
     read_current,
     read_daily,
     upsert_daily,
+    upsert_table,
     write_daily,
 )
 
@@ -78,11 +80,15 @@ def raw_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landed_twice(spark: SparkSession, sf_dir: str) -> str:
     """Two snapshots: an older and shorter one, and the current one."""
     directory = scratch_path(spark, "landing")
+    rolled = scratch_path(spark, "extraction")
     raw = raw_extraction(spark, sf_dir)
+    raw.write.parquet(rolled)  # the facts are rolled up once for both
+    raw = spark.read.schema(raw.schema).parquet(rolled)
     older = raw.filter(F.col("Data") <= OLD_UNTIL.isoformat())
     older = older.withColumn("Quantidade", F.col("Quantidade") + 1)
     snapshots.land_snapshot(older, directory, "shipments", LAYOUT, OLD_STAMP)
     snapshots.land_snapshot(raw, directory, "shipments", LAYOUT, NEW_STAMP)
+    remove_folder(spark, rolled)
     return directory
 
 
@@ -229,6 +235,33 @@ def settlement_views_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _database(spark: SparkSession) -> str:
+    """A new database in the catalog whose tables lie in the shared folder."""
+    path = scratch_path(spark, "tideline_db")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    spark.sql(f"CREATE DATABASE {name} LOCATION {text(path)}")
+    return name
+
+
+def kept_views(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The newest snapshot in a declared table, and both views of it in the catalog."""
+    database = _database(spark)
+    settlements.load_table(spark, landed_twice(spark, sf_dir), "shipments", f"{database}.daily")
+    views = f"{database}.weekly", f"{database}.yearly"
+    settlements.create_views(spark, f"{database}.daily", *views)
+    return views
+
+
+@query(WEEKLY_SQL)
+def settlement_kept_weekly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(kept_views(spark, sf_dir)[0])
+
+
+@query(YEARLY_SQL)
+def settlement_kept_yearly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(kept_views(spark, sf_dir)[1])
+
+
 STORED_UNTIL, BATCH_FROM = date(2001, 1, 1), date(2000, 7, 1)
 KEYS, COMPARED = ["l_returnflag", "day"], ["quantity", "value"]
 
@@ -291,6 +324,39 @@ def upsert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_daily(spark, batch, path, KEYS, COMPARED)
 
 
+FLAGGED = TableContract(
+    columns=(
+        Column("l_returnflag", "string", required=True, comment="what became of the items"),
+        Column("day", "date", required=True, comment="ship day"),
+        Column("quantity", "bigint", required=True, comment="line items shipped"),
+        Column("value", MONEY, comment="their price"),
+    ),
+    key=("l_returnflag", "day"),
+    comment="shipments per flag and day",
+)
+
+
+def upserted_table(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A declared catalog table with the old state, after the upsert; and what that reports."""
+    table = f"{_database(spark)}.shipped"
+    FLAGGED.create(spark, table, by_month="day")
+    stored, batch = (FLAGGED.conform(df) for df in stored_and_batch(spark, sf_dir))
+    upsert_table(stored, table, COMPARED)
+    return table, upsert_table(batch, table, COMPARED)
+
+
+@query(f"{MERGED_SQL} SELECT l_returnflag, day, quantity, value FROM merged")
+def upsert_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upsert of a table by its name: old, revised and new months."""
+    table, _ = upserted_table(spark, sf_dir)
+    return FLAGGED.conform(spark.table(table))
+
+
+@query(f"{MERGED_SQL} SELECT action, count(*) AS rows FROM merged WHERE action <> 'kept' GROUP BY action")
+def upsert_catalog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upserted_table(spark, sf_dir)[1]
+
+
 SEED = TableContract(
     columns=(
         Column("start_day", "date", required=True),

@@ -37,7 +37,8 @@ from tideline.sources.contracts import (
     WINDOW_SEED,
 )
 from tideline.sources.seeds import read_window_seed
-from tideline.sources.tables import publish_version, read_daily, upsert_daily
+from tideline.sources.tables import publish_version, read_daily, upsert_daily, upsert_table
+from tideline.sources.views import baseline_sql, create_view, lag_sql
 
 Period = tuple[date, date]
 
@@ -92,6 +93,23 @@ YEARLY_NAMES = {
     "valor_reais_previous": "valor_reais_ano_anterior",
     "valor_reais_yoy_pct": "variacao_yoy_valor_reais_pct",
 }
+VIEW_COMMENTS = {
+    "data": "settlement day, unique",
+    "dia_da_semana": "1 = Monday ... 7 = Sunday",
+    "nome_dia_da_semana": "name of the weekday",
+    "quantidade": "transactions settled",
+    "media_quantidade_4_semanas": "mean of up to four preceding same weekdays, two places",
+    "variacao_quantidade_pct": "change against that mean in percent; NULL unless all four are there",
+    "valor_reais": "amount settled",
+    "media_valor_reais_4_semanas": "mean of up to four preceding same weekdays, two places",
+    "variacao_valor_reais_pct": "change against that mean in percent; NULL unless all four are there",
+    "semanas_na_base": "weekdays in the mean, 0 to 4",
+    "data_ano_anterior": "the day 364 days earlier; NULL where the series lacks it",
+    "quantidade_ano_anterior": "transactions settled that day",
+    "variacao_yoy_quantidade_pct": "change against that day in percent",
+    "valor_reais_ano_anterior": "amount settled that day",
+    "variacao_yoy_valor_reais_pct": "change against that day in percent",
+}
 DISTRIBUTION_NAMES = {
     "days": "dias",
     "median_pct": "mediana_pct",
@@ -119,23 +137,44 @@ def typed_daily(raw: DataFrame) -> DataFrame:
     return SETTLEMENT_DAILY.conform(typed)
 
 
+def _newest(spark: SparkSession, landing: str, prefix: str) -> tuple[str, DataFrame]:
+    newest = snapshots.latest_snapshot(spark, landing, prefix)
+    return newest, typed_daily(snapshots.scan_snapshots(spark, newest, SETTLEMENT_ENVELOPE))
+
+
+def _series_check(staged: DataFrame) -> DataFrame:
+    return quality.series_report(staged, DAY, required=SETTLEMENT_DAILY.required)
+
+
+def _loaded(report: DataFrame, newest: str, cap: int) -> DataFrame:
+    rows = sum(r["rows"] for r in report.collect())
+    if rows >= cap:
+        warnings.warn(f"{newest} has {rows} rows, the cap is {cap}", stacklevel=3)
+    return report
+
+
 def load_daily(
     spark: SparkSession, landing: str, prefix: str, table: str, cap: int = SNAPSHOT_CAP
 ) -> DataFrame:
-    """Newest snapshot into the daily table; rows per action.
+    """Newest snapshot into the daily table, a folder; rows per action.
 
-    Nothing is written unless the snapshot has no missing or repeated date and
-    no gap. A snapshot as long as the page cap may have been cut off: it is
+    The snapshot is read once. Its typed rows are staged, the staged rows are checked, and
+    they are what is stored. Nothing is written unless they have no missing or repeated
+    date and no gap. A snapshot as long as the page cap may have been cut off: it is
     loaded with a warning.
     """
-    newest = snapshots.latest_snapshot(spark, landing, prefix)
-    batch = typed_daily(snapshots.scan_snapshots(spark, newest, SETTLEMENT_ENVELOPE))
-    checked = quality.require(
-        quality.series_report(batch, DAY, required=SETTLEMENT_DAILY.required)
-    )
-    if checked["rows"] >= cap:
-        warnings.warn(f"{newest} has {checked['rows']} rows, the cap is {cap}", stacklevel=2)
-    return upsert_daily(spark, batch, table, list(SETTLEMENT_DAILY.key), COMPARED, DAY)
+    newest, batch = _newest(spark, landing, prefix)
+    keys = list(SETTLEMENT_DAILY.key)
+    return _loaded(upsert_daily(spark, batch, table, keys, COMPARED, DAY, _series_check), newest, cap)
+
+
+def load_table(
+    spark: SparkSession, landing: str, prefix: str, table: str, cap: int = SNAPSHOT_CAP
+) -> DataFrame:
+    """``load_daily`` into a catalog table, which is declared if it is not there yet."""
+    SETTLEMENT_DAILY.create(spark, table, by_month=DAY)
+    newest, batch = _newest(spark, landing, prefix)
+    return _loaded(upsert_table(batch, table, COMPARED, _series_check), newest, cap)
 
 
 def read_settlements(spark: SparkSession, table: str) -> DataFrame:
@@ -143,14 +182,16 @@ def read_settlements(spark: SparkSession, table: str) -> DataFrame:
 
 
 def load_windows(spark: SparkSession, seed: str, directory: str) -> str:
-    """The window seed, checked, as a new version of the calendar."""
+    """The window seed as a new version of the calendar; the written rows are checked first."""
     calendar = read_window_seed(spark, seed, WINDOW_SEED)
-    quality.require(
-        quality.calendar_report(
-            calendar, WINDOW_KINDS, WINDOW_SEED.required, "tipo", "data_inicio", "data_fim"
-        )
+    return publish_version(
+        calendar,
+        directory,
+        required=WINDOW_SEED.required,
+        check=lambda rows: quality.calendar_report(
+            rows, WINDOW_KINDS, WINDOW_SEED.required, "tipo", "data_inicio", "data_fim"
+        ),
     )
-    return publish_version(calendar, directory)
 
 
 # Views
@@ -172,6 +213,26 @@ def register_views(daily: DataFrame, weekly_name: str, yearly_name: str) -> None
     yearly_view(daily).createOrReplaceTempView(yearly_name)
 
 
+def create_views(spark: SparkSession, table: str, weekly_name: str, yearly_name: str) -> None:
+    """Keep both views of a catalog table in the catalog, with a comment per view and column."""
+    create_view(
+        spark,
+        weekly_name,
+        baseline_sql(table, METRICS, day=DAY),
+        WEEKLY_NAMES,
+        VIEW_COMMENTS,
+        "each day against the mean of the four preceding same weekdays; describes, claims no cause",
+    )
+    create_view(
+        spark,
+        yearly_name,
+        lag_sql(table, METRICS, day=DAY),
+        YEARLY_NAMES,
+        VIEW_COMMENTS,
+        "each day against the day 364 days earlier; includes the yearly trend; describes, claims no cause",
+    )
+
+
 def weekly_integrity(daily: DataFrame) -> DataFrame:
     view = rolling_weekday_baseline(daily, METRICS, day=DAY)
     names = {

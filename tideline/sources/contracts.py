@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,6 +11,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MONTH = "stored_month"  # the directories of a daily table; rows may have no such column
+MISSING = "rows lack a required value"
+DECLARED = "tideline.declared"  # the table property that holds what file tables cannot enforce
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """A SQL string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def enforced(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """``df``, whose plan raises where a row lacks one of the ``required`` values.
+
+    The check is part of whatever reads or writes the rows, so it costs no pass of its own.
+    """
+    def kept(f: T.StructField):
+        if f.name not in required:
+            return F.col(quoted(f.name))
+        refuse = F.raise_error(F.lit(f"{MISSING}: {f.name}")).cast(f.dataType)
+        return F.coalesce(F.col(quoted(f.name)), refuse).alias(f.name, metadata=f.metadata)
+
+    absent = set(required) - set(df.columns)
+    if absent:
+        raise ValueError(f"no column {sorted(absent)}")
+    return df.select(*[kept(f) for f in df.schema]) if required else df
+
+
+@dataclass(frozen=True)
+class Declaration:
+    """What a catalog table promises beyond its schema."""
+
+    key: tuple[str, ...] = ()
+    required: tuple[str, ...] = ()
+    day: str | None = None
+
+
+def declaration(spark: SparkSession, table: str) -> Declaration:
+    """The promises of a table made by ``TableContract.create``; none for others."""
+    held = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    if DECLARED not in held:
+        return Declaration()
+    found = json.loads(held[DECLARED])
+    return Declaration(tuple(found["key"]), tuple(found["required"]), found["day"])
+
+
 @dataclass(frozen=True)
 class Column:
     name: str
@@ -50,16 +100,25 @@ class TableContract:
             ]
         )
 
-    def create(self, spark: SparkSession, table: str) -> None:
-        """Declare the table in the catalog unless it exists."""
-        if not spark.catalog.tableExists(table):
-            # File tables take NOT NULL only as a promise; the checks keep it.
-            nullable = T.StructType(
-                [T.StructField(f.name, f.dataType, True, f.metadata) for f in self.schema]
-            )
-            spark.catalog.createTable(
-                table, source="parquet", schema=nullable, description=self.comment
-            )
+    def create(self, spark: SparkSession, table: str, by_month: str | None = None) -> None:
+        """Declare the table in the catalog, with its comments, unless it exists.
+
+        File tables take NOT NULL and keys only as a promise, so both are kept as a table
+        property by which ``overwrite_table`` and ``upsert_table`` check what they
+        write. ``by_month`` names the day whose months are the table's partitions.
+        """
+        columns = [f"{quoted(c.name)} {c.type} COMMENT {text(c.comment)}" for c in self.columns]
+        placed = ""
+        if by_month is not None:
+            if by_month not in self.key:
+                raise ValueError(f"{by_month} must be one of the keys")
+            columns.append(f"{MONTH} STRING COMMENT 'month of the day, the partition'")
+            placed = f"PARTITIONED BY ({MONTH})"
+        promised = {"key": self.key, "required": sorted({*self.required, *self.key}), "day": by_month}
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)}) USING parquet {placed} "
+            f"COMMENT {text(self.comment)} TBLPROPERTIES ({text(DECLARED)} = {text(json.dumps(promised))})"
+        )
 
 
 @dataclass(frozen=True)
