@@ -1,3 +1,4 @@
+import math
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -22,6 +23,7 @@ relaxed = settings(
     suppress_health_check=[HealthCheck.function_scoped_fixture],
 )
 D = Decimal
+FIRST_DAY = date(2024, 1, 1)
 PCT = "decimal(10,2)"
 
 
@@ -46,6 +48,46 @@ def test_distribution_period_cap_and_keys(series):
     assert row.days == 2 and row.k == "a" and "pct_days_high" not in row
 
 
+@relaxed
+@given(st.lists(st.one_of(st.none(), st.decimals(-200, 200, places=2)), min_size=1, max_size=60), st.booleans())
+def test_distribution_against_interpolation(spark, values, only_known):
+    rows = [(i % 2, FIRST_DAY + timedelta(days=i), v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, f"g int, day date, x {PCT}").withColumn("g", F.when(F.col("g") == 1, 1))
+    got = {r.g: r for r in distribution(df, "x", ["g"], count_low=True, only_known=only_known).collect()}
+    for group, place in ((None, 0), (1, 1)):
+        mine = [v for i, _, v in rows if i == place]
+        known = sorted(v for v in mine if v is not None)
+        counted = known if only_known else mine
+        if not counted:
+            assert group not in got
+            continue
+        row = got[group]
+        assert row.days == len(counted) and row.days_low == sum(v <= -10 for v in known)
+        share = lambda n: (100 * D(n) / D(len(counted)).quantize(D("1"))).quantize(D("0.1"), "ROUND_HALF_UP")
+        assert (row.pct_days_low, row.pct_days_high) == (share(row.days_low), share(sum(v >= 10 for v in known)))
+        for name, p in (("median_pct", 0.5), ("p05_pct", 0.05), ("p95_pct", 0.95)):
+            if not known:
+                assert row[name] is None
+                continue
+            at = (len(known) - 1) * p
+            low, high = float(known[math.floor(at)]), float(known[math.ceil(at)])
+            want = low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+            assert abs(float(row[name]) - want) <= 0.00501
+
+
+def test_percentiles_of_a_million_distinct_values_in_one_group(spark):
+    days = spark.range(1_000_000).select(
+        F.lit("one").alias("g"),
+        F.lit(FIRST_DAY).alias("day"),
+        ((F.pmod(F.col("id") * 7919, F.lit(1_000_000)) - 500_000) / 100).cast(PCT).alias("x"),
+    )
+    row = distribution(days, "x", ["g"]).first()
+    # of -5000.00, -4999.99 ... 4999.99
+    assert (row.days, row.median_pct) == (1_000_000, D("-0.01"))
+    assert (row.p05_pct, row.p95_pct) == (D("-4500.00"), D("4499.99"))
+    assert (row.pct_days_low, row.pct_days_high) == (D("49.9"), D("49.9"))
+
+
 def pairs(rows, targets, windows):
     """Pair every target with its history: day -> [(days, share), ...]."""
     out = {}

@@ -80,3 +80,19 @@ def test_period_reaches_the_scan(spark, sf_dir):
 def test_history_reaches_the_scan(spark, sf_dir):
     text = plan(all_queries()["position_in_history_yoy"](spark, sf_dir))
     assert "GreaterThanOrEqual(l_shipdate,1998-07-01" in text
+
+
+@pytest.mark.parametrize("name", ["baseline_integrity", "yoy_integrity", "same_date_integrity"])
+def test_parity_costs_no_second_scan(spark, sf_dir, name):
+    # With adaptive execution, reuse shows only in what has run; the whole plan tells it beforehand.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(all_queries()[name](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert (count("FileScan", text), count("ReusedExchange", text)) == (1, 1)
+
+
+def test_percentiles_hold_no_group(spark, sf_dir):
+    text = plan(all_queries()["distribution_across_suppliers"](spark, sf_dir))
+    assert "percentile" not in text and "ObjectHashAggregate" not in text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,9 @@ from tideline.operators.series import with_weekday
 
 Period = tuple[date, date]
 
+RANGE = 16  # points of variation whose values one task counts one by one
+POINTS = {"median_pct": 0.5, "p05_pct": 0.05, "p95_pct": 0.95}
+
 
 def within(day: str, period: Period) -> Column:
     """Inclusive date range."""
@@ -46,9 +49,10 @@ def distribution(
     ``only_known`` drops NULL variations first. Without it they stay in ``days``
     and in the denominator of the shares, while the percentiles skip them.
 
-    One aggregate answers all three percentiles. It merges value counts on the
-    map side, so its state grows with the distinct two-decimal values of a
-    group, not with its rows.
+    Percentiles interpolate between neighbours, and no task holds a group. Rows are
+    folded to (group, value, count); counts of ranges of ``RANGE`` points add up to the rank
+    at which each range starts; only the ranges that hold a wanted rank are then
+    counted value by value.
     """
     if only_known:
         df = df.filter(F.col(metric).isNotNull())
@@ -56,22 +60,49 @@ def distribution(
         df = df.filter(within(day, period))
     if through is not None:
         df = df.filter(F.col(day) <= F.lit(through))
-    value = F.col(metric)
-    parts = [
-        F.count(F.lit(1)).alias("days"),
-        F.percentile(value, F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias("_p"),
-        share_where(value <= low).alias("pct_days_low"),
-    ]
+    counted = df.groupBy(*keys, *by, F.col(metric).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    group = counted.columns[:-2]
+    counted = counted.withColumn("_range", F.floor(F.col("_value") / RANGE).cast("bigint"))
+
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0))
+
+    known, value = F.col("_range").isNotNull(), F.col("_value")
+    ranges = counted.groupBy(*group, "_range").agg(
+        F.sum("_n").alias("_n"), rows_where(value <= low).alias("_low"), rows_where(value >= (high or 0)).alias("_high")
+    )
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    so_far = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known_rows = F.when(known, F.col("_n")).otherwise(0)
+    sums = {"_days": F.col("_n"), "_lows": F.col("_low"), "_highs": F.col("_high"), "_known": known_rows}
+    ranges = ranges.withColumns({name: F.sum(column).over(whole) for name, column in sums.items()})
+    ranges = ranges.withColumn("_before", F.sum(known_rows).over(so_far) - known_rows)
+
+    place = {name: (F.col("_known") - 1) * F.lit(share) for name, share in POINTS.items()}
+    ranks = [edge(p).cast("bigint") for p in place.values() for edge in (F.floor, F.ceil)]
+    inside = lambda r, first, n: known & (r >= F.col(first)) & (r < F.col(first) + F.col(n))
+    wanted = reduce(or_, (inside(r, "_before", "_n") for r in ranks), F.col("_known") == 0)
+    chosen = ranges.filter(wanted).drop("_low", "_high", "_n")
+    chosen = chosen.withColumnsRenamed({c: f"_of_{c}" for c in [*group, "_range"]})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*group, "_range"]))
+    within_range = Window.partitionBy(*group, "_range").orderBy("_value")
+    upto = F.sum("_n").over(within_range.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    values = counted.join(chosen, same).withColumn("_start", F.col("_before") + upto - F.col("_n"))
+
+    found = [F.max(c).alias(c) for c in sums]
+    for i, rank in enumerate(ranks):
+        found.append(F.max(F.when(inside(rank, "_start", "_n"), value.cast("double"))).alias(f"_at{i}"))
+    grouped = values.groupBy(*group).agg(*found)
+    columns = [F.col("_days").alias("days"), share_of_counts(F.col("_lows"), F.col("_days")).alias("pct_days_low")]
     if count_low:
-        parts.append(count_where(value <= low).alias("days_low"))
+        columns.append(F.col("_lows").alias("days_low"))
     if high is not None:
-        parts.append(share_where(value >= high).alias("pct_days_high"))
-    grouped = df.groupBy(*keys, *by).agg(*parts)
-    points = {
-        name: F.col("_p")[i].cast(PERCENT)
-        for i, name in enumerate(("median_pct", "p05_pct", "p95_pct"))
-    }
-    return grouped.withColumns(points).drop("_p")
+        columns.append(share_of_counts(F.col("_highs"), F.col("_days")).alias("pct_days_high"))
+    for i, (name, at) in enumerate(place.items()):
+        lower, upper = F.col(f"_at{2 * i}"), F.col(f"_at{2 * i + 1}")
+        between = (F.ceil(at) - at) * lower + (at - F.floor(at)) * upper
+        columns.append(F.when(lower == upper, lower).otherwise(between).cast(PERCENT).alias(name))
+    return grouped.select(*group, *columns)
 
 
 def _ranked(

@@ -241,7 +241,7 @@ def weekly_integrity(daily: DataFrame) -> DataFrame:
         "incomplete_bases": "sem_base_completa",
         "unexpected_nulls": "nulos_inesperados",
     }
-    return _named(quality.baseline_integrity(daily, view, METRICS[0]), names)
+    return _named(quality.baseline_integrity(daily, view, METRICS[0], day=DAY), names)
 
 
 def yearly_integrity(daily: DataFrame) -> DataFrame:
