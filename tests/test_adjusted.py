@@ -89,3 +89,40 @@ def test_strata_without_comparison_take_no_part(series):
     df = series([10] * 14).withColumn("event", F.expr("weekday(day) = 0 or day = '2024-01-02'"))
     row = inside_outside(df, "x", "event").first()
     assert (row.days_inside, row.adjusted_pct) == (3, D("0.00"))
+
+
+def test_holidays_as_a_condition(series, spark):
+    df = series(range(70))
+    free = spark.createDataFrame([(date(2024, 1, 1),), (date(2024, 2, 14),)], "day date")
+    told = F.date_format("day", "MM-dd").isin("01-01", "02-14")
+    by_table, by_condition = with_business_days(df, free), with_business_days(df, told)
+    assert sorted(map(str, by_table.select(*by_condition.columns).collect())) == sorted(map(str, by_condition.collect()))
+    assert "Join" not in by_condition._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trend_is_the_same_under_any_partitioning(spark):
+    """Sums of doubles would depend on the order; the exact line is known."""
+    rows = [(date(2020, 1, 1) + timedelta(days=i), D(i % 13) / 100 + D(10) ** (i % 9)) for i in range(900)]
+    fit, x, y = (rows[50][0], rows[800][0]), [], []
+    for d, v in rows[50:801]:
+        x.append((d - fit[0]).days)
+        y.append(v)
+    n, sx, sy = len(x), sum(x), sum(y)
+    sxx, sxy = sum(a * a for a in x), sum(a * b for a, b in zip(x, y))
+    slope = (n * sxy - sx * sy) / D(n * sxx - sx * sx)
+    df = spark.createDataFrame(rows, "day date, x decimal(18,2)")
+    found = set()
+    for parts in (1, 3, 8):
+        out = trend_deviation(df.repartition(parts, F.rand(parts)), "x", fit, by_weekday=False, on_zero="null")
+        found.add(tuple(sorted((r.day, r.trend_slope, r.trend_expected) for r in out.collect())))
+    assert len(found) == 1
+    [lines] = found
+    assert all(abs(D(s) - slope) < D("0.000001") for _, s, _ in lines)
+    start = (sy - slope * sx) / n
+    assert all(abs(e - (start + slope * (d - fit[0]).days)) <= D("0.00501") for d, _, e in lines)
+
+
+def test_trend_needs_two_days(series):
+    df = series([5, None, None, 8, 9])
+    one = trend_deviation(df, "x", (date(2024, 1, 1), date(2024, 1, 3)), by_weekday=False)
+    assert {(r.trend_slope, r.trend_expected, r.trend_pct) for r in one.collect()} == {(None, None, None)}

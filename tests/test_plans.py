@@ -82,17 +82,57 @@ def test_history_reaches_the_scan(spark, sf_dir):
     assert "GreaterThanOrEqual(l_shipdate,1998-07-01" in text
 
 
+@pytest.fixture
+def whole_plan(spark, sf_dir):
+    """The plan of a query with its reused shuffles. With adaptive execution, reuse shows only in what has run."""
+
+    def of(name):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            return plan(all_queries()[name](spark, sf_dir))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    return of
+
+
 @pytest.mark.parametrize("name", ["baseline_integrity", "yoy_integrity", "same_date_integrity"])
-def test_parity_costs_no_second_scan(spark, sf_dir, name):
-    # With adaptive execution, reuse shows only in what has run; the whole plan tells it beforehand.
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        text = plan(all_queries()[name](spark, sf_dir))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+def test_parity_costs_no_second_scan(whole_plan, name):
+    text = whole_plan(name)
+    assert (count("FileScan", text), count("ReusedExchange", text)) == (1, 1)
+
+
+@pytest.mark.parametrize("name", ["distribution_by_year", "distribution_across_suppliers", "distribution_by_weekday"])
+def test_counted_values_are_shuffled_once(whole_plan, name):
+    text = whole_plan(name)
     assert (count("FileScan", text), count("ReusedExchange", text)) == (1, 1)
 
 
 def test_percentiles_hold_no_group(spark, sf_dir):
     text = plan(all_queries()["distribution_across_suppliers"](spark, sf_dir))
     assert "percentile" not in text and "ObjectHashAggregate" not in text
+
+
+@pytest.mark.parametrize(
+    "name,since",
+    [
+        ("published_vs_calculated", "2001-06-02"),
+        ("ext_period_total", "2001-06-02"),
+        ("yoy_vs_recent_targets", "2000-06-03"),
+        ("position_in_history", "1999-06-02"),
+        ("position_in_history_value", "1999-06-02"),
+        ("weekend_drops", "1999-06-02"),
+        ("distribution_by_weekday", "2000-06-02"),
+        ("ext_position_in_month", "1999-06-02"),
+        ("ext_window_sensitivity", "1996-06-02"),
+        ("side_by_side", "2000-07-01"),
+    ],
+)
+def test_proven_look_backs_reach_the_scan(whole_plan, name, since):
+    text = whole_plan(name)
+    assert count("FileScan", text) == 1
+    assert f"GreaterThanOrEqual(l_shipdate,{since}" in re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
+
+
+def test_holidays_by_rule_cost_no_scan(spark, sf_dir):
+    assert count("FileScan", plan(all_queries()["ext_business_days"](spark, sf_dir))) == 1

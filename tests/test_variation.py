@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators.series import densify, latest_days, with_calendar
 from tideline.operators.variation import (
+    both_variations,
     lag_variation,
     period_total,
     rolling_weekday_baseline,
@@ -239,3 +240,31 @@ def test_densify_covers_the_period_for_every_series(spark):
         ("a", 1, True), ("a", 2, False), ("a", 2, False), ("a", 3, True),
         *[(k, d, True) for k in "bc" for d in (1, 2, 3)],
     ]
+
+
+def test_look_back_is_proven_or_refused(series, spark):
+    from tideline.operators.variation import look_back
+
+    period = (date(2024, 7, 1), date(2024, 7, 3))
+    whole = series(range(400))
+    assert look_back(whole, period) == date(2024, 6, 3)
+    # One missing same weekday: the frame reaches a week further, so a longer cut is proven.
+    holed = series(range(400), gaps=(180,))
+    assert holed.filter("day = '2024-06-29'").isEmpty() and look_back(holed, (date(2024, 7, 6),) * 2) == date(2024, 3, 16)
+    # The series starts too late for any cut to be full.
+    assert look_back(series(range(200)), (date(2024, 1, 20), date(2024, 1, 21))) is None
+    keyed = whole.withColumn("k", F.lit("a")).union(holed.withColumn("k", F.lit("b")))
+    assert look_back(keyed, (date(2024, 7, 6),) * 2, ["k"]) == date(2024, 3, 16)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.sets(st.integers(0, 500), max_size=120), st.integers(0, 480), st.integers(0, 40))
+def test_pruned_results_are_those_of_the_whole_series(series, gaps, at, length):
+    df = series([i * 7 % 101 + 1 for i in range(520)], gaps=gaps)
+    period = (date(2024, 1, 1) + timedelta(days=at), date(2024, 1, 1) + timedelta(days=at + length))
+    inside = F.col("day").between(*map(F.lit, period))
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    want = lag_variation(rolling_weekday_baseline(df, ["x"]), ["x"]).filter(inside)
+    assert rows(both_variations(df, ["x"], only=period)) == rows(want)
+    pruned = rolling_weekday_baseline(df, ["x"], only=period, prove=True)
+    assert rows(pruned) == rows(rolling_weekday_baseline(df, ["x"]).filter(inside))

@@ -16,18 +16,24 @@ from tideline.operators.windows import flag_days
 
 Period = tuple[date, date]
 
+WHOLE, EXACT = "decimal(19,0)", "decimal(38,0)"  # a summand, and sums and their products
+
 
 def with_business_days(
     df: DataFrame,
-    holidays: DataFrame,
+    holidays: DataFrame | Column,
     keys: Sequence[str] = (),
     day: str = "day",
 ) -> DataFrame:
     """Holiday and business-day flags, and the business day's number in its month.
 
-    Numbers count the days that are present: fill gaps first where that matters.
+    Holidays are a table of days, or a condition on the day, which costs no join and no
+    second input. Numbers count the days that are present: fill gaps first where that matters.
     """
-    out = with_weekday(flag_days(df, holidays, "holiday", day), day)
+    if isinstance(holidays, Column):
+        out = with_weekday(df.withColumn("holiday", F.coalesce(holidays, F.lit(False))), day)
+    else:
+        out = with_weekday(flag_days(df, holidays, "holiday", day), day)
     working = (F.col("weekday") <= 5) & ~F.col("holiday")
     out = out.withColumns({"business_day": working, "_month": F.trunc(day, "month")})
     month = Window.partitionBy(*keys, "_month").orderBy(day)
@@ -95,22 +101,28 @@ def trend_deviation(
     The line is fitted per series (and weekday) on days since the start of the
     reference period. Adds the slope, the expected value and the deviation in
     percent of it; NULL where fewer than two days support the line.
+
+    The moments (n and the sums of x, y, x squared and x times y) are whole numbers and
+    decimals, which add up to the same in any order; only the two quotients are rounded. Metrics
+    have up to four decimal places.
     """
     df = with_weekday(df, day) if by_weekday else df
     group = Window.partitionBy(*keys, *(["weekday"] if by_weekday else []))
-    x = F.datediff(F.col(day), F.lit(fit[0])).cast("double")
-    y = F.when(within(day, fit), F.col(metric).cast("double"))
-    out = df.withColumns(
-        {
-            "_slope": F.regr_slope(y, x).over(group),
-            "_intercept": F.regr_intercept(y, x).over(group),
-        }
-    )
-    expected = (F.col("_intercept") + F.col("_slope") * x).cast(MONEY)
-    out = out.withColumns({"trend_slope": F.round("_slope", 6), "trend_expected": expected})
+    x = F.datediff(F.col(day), F.lit(fit[0])).cast(WHOLE)
+    y = F.when(within(day, fit), (F.col(metric).cast("decimal(20,4)") * 10_000).cast(WHOLE))
+    known = F.when(y.isNotNull(), x)
+    sums = {"n": F.count(y), "x": F.sum(known), "y": F.sum(y), "xx": F.sum(known * known), "xy": F.sum(known * y)}
+    out = df.withColumns({f"_{name}": column.over(group) for name, column in sums.items()})
+    n, sx, sy, sxx, sxy = (F.col(f"_{name}").cast(EXACT) for name in sums)
+    spread = (n * sxx - sx * sx).cast("double")
+    slope = (n * sxy - sx * sy).cast("double") / (spread * 10_000)
+    intercept = (sy * sxx - sx * sxy).cast("double") / (spread * 10_000)
+    fitted = F.when((F.col("_n") > 1) & (spread > 0), F.lit(True))
+    expected = F.when(fitted, (intercept + slope * x.cast("double")).cast(MONEY))
+    out = out.withColumns({"trend_slope": F.when(fitted, F.round(slope, 6)), "trend_expected": expected})
     return out.withColumn(
         "trend_pct", pct_change(F.col(metric), F.col("trend_expected"), on_zero)
-    ).drop("_slope", "_intercept")
+    ).drop(*(f"_{name}" for name in sums))
 
 
 def before_after(

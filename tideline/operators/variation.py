@@ -52,6 +52,28 @@ def row_days_ago(columns: Sequence[str], partition: Sequence[str], day: str, day
     return windowed(f"first(struct({fields}))", partition, day, f"RANGE BETWEEN {back} AND {back}")
 
 
+def look_back(
+    df: DataFrame, period: Period, keys: Sequence[str] = (), weeks: int = 4, day: str = "day"
+) -> date | None:
+    """From which day on the series decides the row frames of a period; None if only all of it does.
+
+    A frame that is full within a cut of the series is the frame of the whole series, as the
+    rows before it are the nearest ones. So the days of the period are counted on the cut by
+    their own look-back: if each has ``weeks`` same weekdays before it, the cut is
+    proven, whatever lies outside. If not, days are missing or the series starts there, and longer
+    cuts are tried. This runs now, and reads days and keys of the cut alone.
+    """
+    group = [*keys, "weekday"]
+    for reach in (1, 4, 16):
+        start = period[0] - timedelta(days=7 * weeks * reach)
+        near = with_weekday(df.filter(F.col(day).between(F.lit(start), F.lit(period[1]))), day)
+        size = F.expr(windowed("count(1)", group, day, frame_bounds(weeks, "rows")))
+        counted = near.select(*group, day).withColumn("_n", size)
+        if counted.filter(F.col(day).between(*map(F.lit, period)) & (F.col("_n") < weeks)).isEmpty():
+            return start
+    return None
+
+
 def rolling_weekday_baseline(
     df: DataFrame,
     metrics: Sequence[str],
@@ -62,6 +84,7 @@ def rolling_weekday_baseline(
     on_zero: str = "error",
     only: Period | None = None,
     contiguous: bool = False,
+    prove: bool = False,
 ) -> DataFrame:
     """Each day against the mean of the preceding same weekdays.
 
@@ -74,12 +97,17 @@ def rolling_weekday_baseline(
 
     ``only`` keeps a period of result days. The input is then cut to that period
     plus its look-back where this cannot change the result: for the calendar
-    frame, or when the caller vouches that the series is ``contiguous``.
+    frame, when ``prove`` has ``look_back`` find out how far row frames reach, or when the
+    caller vouches that the series is ``contiguous``.
     """
-    if only is not None and (contiguous or frame == "calendar"):
-        df = df.filter(
-            F.col(day).between(F.lit(only[0] - timedelta(days=7 * weeks)), F.lit(only[1]))
-        )
+    if only is not None:
+        since = None
+        if contiguous or frame == "calendar":
+            since = only[0] - timedelta(days=7 * weeks)
+        elif prove:
+            since = look_back(df, only, keys, weeks, day)
+        if since is not None:
+            df = df.filter(F.col(day).between(F.lit(since), F.lit(only[1])))
     group, bounds = [*keys, "weekday"], frame_bounds(weeks, frame)
     means = {
         f"{m}_mean": F.expr(windowed(f"avg({_quoted(m)[0]})", group, day, bounds)).cast(MONEY)
@@ -141,6 +169,30 @@ def lag_variation(
     return out if only is None else out.filter(F.col(day).between(*map(F.lit, only)))
 
 
+def both_variations(
+    df: DataFrame,
+    metrics: Sequence[str],
+    keys: Sequence[str] = (),
+    weeks: int = 4,
+    days: int = 364,
+    day: str = "day",
+    on_zero: str = "error",
+    only: Period | None = None,
+) -> DataFrame:
+    """Baseline and yearly comparison of the same days, from one pass over the series.
+
+    For a period, the input is cut to its days, their proven look-back and their partners:
+    full frames take the nearest rows and never reach a partner a year back.
+    """
+    if only is not None and (since := look_back(df, only, keys, weeks, day)) is not None:
+        partners = [F.lit(d - timedelta(days=days)) for d in only]
+        recent = F.col(day).between(F.lit(since), F.lit(only[1]))
+        df = df.filter(recent | F.col(day).between(*partners))
+    recent = rolling_weekday_baseline(df, metrics, keys, weeks, day, on_zero=on_zero)
+    both = lag_variation(recent, metrics, keys, days, day, on_zero)
+    return both if only is None else both.filter(F.col(day).between(*map(F.lit, only)))
+
+
 def variation_vs_recent(
     df: DataFrame,
     metric: str,

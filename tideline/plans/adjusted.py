@@ -23,7 +23,7 @@ from tideline.plans.tables import (
     HISTORY_24M,
     METRICS,
     TARGETS,
-    holidays,
+    is_fixed_holiday,
     sales,
     shipments,
 )
@@ -45,9 +45,24 @@ from tideline.plans.variations import dates
 )
 def ext_business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_returnflag"]
-    return with_business_days(
-        shipments(spark, sf_dir, keys), holidays(spark, sf_dir), keys
-    )
+    return with_business_days(shipments(spark, sf_dir, keys), is_fixed_holiday("day"), keys)
+
+
+@query(
+    f"""
+    SELECT day, quantity, value, weekday, day IN (SELECT day FROM ({q.sales()}) WHERE quantity % 7 = 0) AS holiday,
+           weekday <= 5 AND day NOT IN (SELECT day FROM ({q.sales()}) WHERE quantity % 7 = 0) AS business_day,
+           CASE WHEN weekday <= 5 AND day NOT IN (SELECT day FROM ({q.sales()}) WHERE quantity % 7 = 0)
+             THEN CAST(sum((weekday <= 5 AND day NOT IN (SELECT day FROM ({q.sales()}) WHERE quantity % 7 = 0))::INTEGER)
+               OVER (PARTITION BY date_trunc('month', day) ORDER BY day) AS BIGINT) END AS business_day_number,
+           CAST(sum((weekday <= 5 AND day NOT IN (SELECT day FROM ({q.sales()}) WHERE quantity % 7 = 0))::INTEGER)
+             OVER (PARTITION BY date_trunc('month', day)) AS BIGINT) AS business_days_in_month
+    FROM ({q.shipments()})"""
+)
+def ext_business_days_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free days kept in a table of their own."""
+    free = sales(spark, sf_dir).filter(F.col("quantity") % 7 == 0).select("day")
+    return with_business_days(shipments(spark, sf_dir), free)
 
 
 CYCLE = """
@@ -96,7 +111,8 @@ BASELINE = q.baseline(q.shipments())
 )
 def ext_position_in_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the same weekday at the same place in months without the event."""
-    series = rolling_weekday_baseline(shipments(spark, sf_dir), METRICS)
+    period = (HISTORY_24M[0], TARGETS[1])
+    series = rolling_weekday_baseline(shipments(spark, sf_dir), METRICS, only=period, prove=True)
     event_months = F.trunc("day", "month").isin(date(2001, 6, 1), date(2001, 7, 1))
     return position_in_history(
         with_month_cycle(series),

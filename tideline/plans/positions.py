@@ -29,12 +29,16 @@ from tideline.plans.tables import (
 )
 from tideline.plans.variations import dates
 
+Period = tuple[date, date]
+THROUGH_TARGETS = (HISTORY_24M[0], TARGETS[1])
+
 BASELINE = q.baseline(q.shipments())
 YEARLY = q.yearly(q.shipments())
 
 
-def _baseline(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
-    return rolling_weekday_baseline(shipments(spark, sf_dir, keys), METRICS, keys)
+def _baseline(spark: SparkSession, sf_dir: str, *keys: str, only: Period | None = None) -> DataFrame:
+    series = shipments(spark, sf_dir, keys)
+    return rolling_weekday_baseline(series, METRICS, keys, only=only, prove=True)
 
 
 def _by_year_sql(source: str, metric: str, keys: tuple[str, ...] = ()) -> str:
@@ -111,7 +115,7 @@ def _by_weekday_sql(source: str, metric: str, period: tuple[date, date]) -> str:
 @query(_by_weekday_sql(BASELINE, "quantity_pct", HISTORY_12M))
 def distribution_by_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution(
-        _baseline(spark, sf_dir),
+        _baseline(spark, sf_dir, only=HISTORY_12M),
         "quantity_pct",
         ["weekday"],
         high=None,
@@ -166,21 +170,21 @@ def _position_sql(
 @query(f"{_position_sql(BASELINE, 'quantity_pct')} ORDER BY n.day", "position_in_history")
 def position_of_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return position_in_history(
-        _baseline(spark, sf_dir), "quantity_pct", TARGETS, HISTORY
+        _baseline(spark, sf_dir, only=THROUGH_TARGETS), "quantity_pct", TARGETS, HISTORY
     ).orderBy("day")
 
 
 @query(f"{_position_sql(BASELINE, 'value_pct')} ORDER BY n.day", "position_in_history_value")
 def position_of_targets_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return position_in_history(
-        _baseline(spark, sf_dir), "value_pct", TARGETS, HISTORY
+        _baseline(spark, sf_dir, only=THROUGH_TARGETS), "value_pct", TARGETS, HISTORY
     ).orderBy("day")
 
 
 @query(f"{_position_sql(YEARLY, 'quantity_yoy_pct')} ORDER BY n.day", "position_in_history_yoy")
 def position_of_targets_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
     yearly = lag_variation(
-        shipments(spark, sf_dir), METRICS, only=(HISTORY_24M[0], TARGETS[1])
+        shipments(spark, sf_dir), METRICS, only=THROUGH_TARGETS
     )
     return position_in_history(yearly, "quantity_yoy_pct", TARGETS, HISTORY).orderBy("day")
 
@@ -218,7 +222,7 @@ DROP_COLUMNS = ("day", "weekday", "quantity", "quantity_mean", "quantity_pct")
 )
 def weekend_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exceedances(
-        _baseline(spark, sf_dir), "quantity_pct", -10, (6, 7), HISTORY_24M
+        _baseline(spark, sf_dir, only=HISTORY_24M), "quantity_pct", -10, (6, 7), HISTORY_24M
     ).select(*DROP_COLUMNS)
 
 
@@ -245,8 +249,9 @@ CUTS_SQL = ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, (a, b) in CUTS.it
 )
 def ext_window_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_returnflag"]
+    period = (min(first for first, _ in CUTS.values()), TARGETS[1])
     return position_by_window(
-        _baseline(spark, sf_dir, *keys), "value_pct", TARGETS, CUTS, keys
+        _baseline(spark, sf_dir, *keys, only=period), "value_pct", TARGETS, CUTS, keys
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.numbers import cents_sum
@@ -67,11 +67,6 @@ def campaign_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed-date holidays among the days on which anything was shipped."""
-    day = F.col("l_shipdate").cast("date").alias("day")
-    return (
-        read(spark, sf_dir, "lineitem")
-        .select(day)
-        .filter(F.date_format("day", "MM-dd").isin("01-01", "05-01", "12-25"))
-    )
+def is_fixed_holiday(day: str) -> Column:
+    """Whether a day is one of the fixed-date holidays."""
+    return F.date_format(day, "MM-dd").isin("01-01", "05-01", "12-25")

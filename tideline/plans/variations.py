@@ -12,7 +12,9 @@ from tideline.operators.compare import inline, reconcile, side_by_side as join_s
 from tideline.operators.distribution import base_detail, weekly_trend, within
 from tideline.operators.series import densify, latest_days as newest, with_calendar
 from tideline.operators.variation import (
+    both_variations,
     lag_variation,
+    look_back,
     period_total,
     rolling_weekday_baseline,
     variation_vs_recent,
@@ -153,9 +155,7 @@ def same_date_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline and yearly variation of the same series, in one pass over it."""
-    return lag_variation(
-        rolling_weekday_baseline(shipments(spark, sf_dir), METRICS), METRICS
-    )
+    return both_variations(shipments(spark, sf_dir), METRICS)
 
 
 BOTH_SQL = f"""
@@ -170,12 +170,18 @@ BOTH_COLUMNS = (
 
 @query(f"{BOTH_SQL} WHERE day BETWEEN {dates(TARGETS)} ORDER BY day")
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yearly = lag_variation(shipments(spark, sf_dir), METRICS, only=TARGETS)
-    recent = rolling_weekday_baseline(shipments(spark, sf_dir), METRICS)
-    joined = join_side_by_side(
-        yearly, recent.select("day", "quantity_pct", "value_pct"), ["day"]
-    )
-    return joined.filter(within("day", TARGETS)).select(*BOTH_COLUMNS).orderBy("day")
+    found = both_variations(shipments(spark, sf_dir), METRICS, only=TARGETS)
+    return found.select(*BOTH_COLUMNS).orderBy("day")
+
+
+@query(f"{BOTH_SQL} WHERE day BETWEEN {dates(TARGETS)} ORDER BY day")
+def side_by_side_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two results that are there already, joined by their day."""
+    series = shipments(spark, sf_dir)
+    yearly = lag_variation(series, METRICS, only=TARGETS)
+    recent = rolling_weekday_baseline(series, METRICS, only=TARGETS, prove=True)
+    joined = join_side_by_side(yearly, recent.select("day", "quantity_pct", "value_pct"), ["day"])
+    return joined.select(*BOTH_COLUMNS).orderBy("day")
 
 
 @query(BOTH_SQL)
@@ -204,7 +210,10 @@ def published_vs_calculated(spark: SparkSession, sf_dir: str) -> DataFrame:
     published = inline(
         spark, PUBLISHED, "day date, quantity_published int, pct_published decimal(3,1)"
     )
-    calculated = rolling_weekday_baseline(shipments(spark, sf_dir), METRICS)
+    told = [row[0] for row in PUBLISHED]
+    calculated = rolling_weekday_baseline(
+        shipments(spark, sf_dir), METRICS, only=(min(told), max(told)), prove=True
+    )
     return (
         reconcile(calculated, published, ["day"])
         .select(
@@ -235,19 +244,19 @@ VS_RECENT_COLUMNS = (
 )
 
 
-def _vs_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yearly = lag_variation(shipments(spark, sf_dir), METRICS)
-    return variation_vs_recent(yearly, "quantity_yoy_pct").select(*VS_RECENT_COLUMNS)
-
-
 @query(VS_RECENT_SQL)
 def yoy_vs_recent_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vs_recent(spark, sf_dir)
+    yearly = lag_variation(shipments(spark, sf_dir), METRICS)
+    return variation_vs_recent(yearly, "quantity_yoy_pct").select(*VS_RECENT_COLUMNS)
 
 
 @query(f"SELECT * FROM ({VS_RECENT_SQL}) WHERE day BETWEEN {dates(TARGETS)} ORDER BY day")
 def yoy_vs_recent_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vs_recent(spark, sf_dir).filter(within("day", TARGETS)).orderBy("day")
+    series = shipments(spark, sf_dir)
+    since = look_back(series, TARGETS)
+    yearly = lag_variation(series, METRICS, only=since and (since, TARGETS[1]))
+    compared = variation_vs_recent(yearly, "quantity_yoy_pct").select(*VS_RECENT_COLUMNS)
+    return compared.filter(within("day", TARGETS)).orderBy("day")
 
 
 @query(
@@ -324,5 +333,7 @@ def _period_total_sql(keys: list[str]) -> str:
 @query(_period_total_sql(["l_returnflag"]))
 def ext_period_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_returnflag"]
-    series = rolling_weekday_baseline(shipments(spark, sf_dir, keys), METRICS, keys)
+    series = rolling_weekday_baseline(
+        shipments(spark, sf_dir, keys), METRICS, keys, only=TARGETS, prove=True
+    )
     return period_total(series, METRICS, TARGETS, keys)
