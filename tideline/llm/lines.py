@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.columns import SPACES, ascii_lower, fingerprint
+from tideline.llm.durable import written
+
+HEAVY = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -32,7 +35,9 @@ def drop_repeated_lines(
 
     Lines are compared by a 128-bit hash and counted with partial sums, so a line in
     every document costs one row per task. Only (hash, document, position) meets the
-    counts; texts are moved once, to their own document's list of positions.
+    counts, except for lines that make up more than one in HEAVY of all: these, fewer
+    than HEAVY, are broadcast, and their places are dealt by chance instead of by hash.
+    Texts are moved once, to their own document's list of positions.
     """
     base = docs.select(
         F.struct("*").alias("row"),
@@ -49,15 +54,22 @@ def drop_repeated_lines(
         .select("id", "t1", "t2", "pos", *fingerprint(F.col("key")))
     )
     holders = F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))
-    repeated = (
+    repeated = written(
         marks.groupBy("h1", "h2")
-        .agg(holders.alias("holders"), F.min("id").alias("keeper"))
+        .agg(holders.alias("holders"), F.min("id").alias("keeper"), F.count(F.lit(1)).alias("lines"))
         .filter(F.col("holders") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper", "lines"),
+        "repeated",
     )
+    usual = repeated.agg(F.sum("lines").alias("n")).first()["n"] or 0
+    heavy = repeated.filter(F.col("lines") * HEAVY > usual)
+    heavy = F.broadcast(heavy.select("h1", "h2", F.struct("keeper").alias("known")))
+    elsewhere = F.when(F.col("known").isNull(), F.col("h1")).otherwise(F.xxhash64("t1", "pos", "id"))
+    placed = marks.join(heavy, ["h1", "h2"], "left").withColumn("h1", elsewhere)
+    found = placed.join(repeated.select("h1", "h2", F.struct("keeper").alias("found")), ["h1", "h2"], "left")
     drops = (
-        marks.join(repeated, ["h1", "h2"])
-        .filter(~F.col("id").eqNullSafe(F.col("keeper")))
+        found.withColumn("said", F.coalesce("known", "found"))
+        .filter(F.col("said").isNotNull() & ~F.col("id").eqNullSafe(F.col("said.keeper")))
         .groupBy("id", "t1", "t2")
         .agg(F.collect_set("pos").alias("dropped"))
         .select(F.col("id").alias("d_id"), F.col("t1").alias("d_t1"), F.col("t2").alias("d_t2"), "dropped")
