@@ -87,7 +87,7 @@ def bitmap(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str, doc_id: str, bands: int, rows: int) -> DataFrame:
-    """Per row: n_shingles, a 64-bit fingerprint of its set (``node``) and its band keys."""
+    """Per row: text_hash, n_shingles, a 64-bit fingerprint of its set (``node``) and its band keys."""
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, text: str, doc_id: str, bands: int, rows: int) -
         shifted = circulant(bands * rows)
         none = np.zeros(0, np.uint64)
         for batch in batches:
-            for words in slices(batch.column(1)):
+            for words in slices(batch.column(2)):
                 sizes, nodes, keys = [], [], []
                 for found in shingle_sets(words):
                     sizes.append(len(found))
@@ -105,16 +105,21 @@ def signatures(docs: DataFrame, text: str, doc_id: str, bands: int, rows: int) -
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.first, len(sizes)),
+                        batch.column(1).slice(words.first, len(sizes)),
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.int64()),
                         _lists(keys),
                     ],
-                    ["doc_id", "n_shingles", "node", "bands"],
+                    ["doc_id", "text_hash", "n_shingles", "node", "bands"],
                 )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        sign, f"doc_id {id_type}, n_shingles long, node long, bands array<long>"
-    )
+    rows_of = docs.select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("text_hash"), F.col(text).alias("text"))
+    return rows_of.mapInArrow(sign, f"doc_id {id_type}, text_hash long, n_shingles long, node long, bands array<long>")
+
+
+def text_hash(text: str) -> Column:
+    """What tells texts of one id apart; null and empty are not the same here."""
+    return F.xxhash64(F.col(text))
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -244,7 +249,7 @@ def near_duplicates(
     rows: int = ROWS,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable
-    over links) and kept (it is that id).
+    over links), kept (it is that id) and text_hash, which tells rows of one id apart.
 
     Two documents are linked if their sets of distinct 5-word shingles satisfy
     100 * intersection >= percent * union. A pair at the limit of 0.75 shares no band
@@ -272,7 +277,7 @@ def near_duplicates(
     mates = together.groupBy("node").agg(F.sum("many").alias("mates"))
     members = written(together.join(mates, "node").select("key", "band", "node", "n", "mates"), "members")
     wanted = mates.select("node").join(classes.select("node", "first_id"), "node")
-    texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("same"))
+    texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("text"), text_hash(text).alias("same"))
     sets = written(_sets(texts.join(wanted, "first_id").dropDuplicates(["first_id", "node", "same"])), "sets")
 
     links = met = roots = None
@@ -314,7 +319,7 @@ def _named(signed: DataFrame, held: DataFrame) -> DataFrame:
     """
     usual = held.agg(F.sum("holders").alias("n")).first()["n"] or 0
     heavy = held.filter(F.col("holders") * HEAVY > usual).select("node", F.col("least").alias("heavy_least"))
-    rows = signed.select("doc_id", "n_shingles", "node").join(F.broadcast(heavy), "node", "left")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "node").join(F.broadcast(heavy), "node", "left")
     elsewhere = F.when(F.col("heavy_least").isNull(), F.col("node")).otherwise(F.xxhash64("doc_id", "node"))
     rows = rows.withColumn("key", elsewhere).drop("node")
     rows = rows.join(held.select(F.col("node").alias("key"), "least"), "key", "left")
@@ -325,4 +330,5 @@ def _named(signed: DataFrame, held: DataFrame) -> DataFrame:
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
         F.col("doc_id").eqNullSafe(F.when(F.col("doc_id").isNotNull(), component)).alias("kept"),
+        "text_hash",
     )
