@@ -209,3 +209,34 @@ def test_inline_of_many_and_of_no_rows(spark):
     assert sorted(r.x for r in inline(spark, [(i,) for i in range(1001)], "x int").collect()) == list(range(1001))
     empty = inline(spark, [], "x int, d date")
     assert empty.collect() == [] and empty.dtypes == [("x", "int"), ("d", "date")]
+
+
+def test_ten_thousand_cuts_of_one_series(spark, series):
+    """Rows out are targets times cuts; each cut equals plain counting."""
+    values = [None if i % 17 == 0 else (i * 7919) % 211 for i in range(700)]
+    df = series(values, kind=PCT, gaps=tuple(range(300, 320)))
+    day = lambda i: FIRST_DAY + timedelta(days=i)
+    cuts = {f"c{a}-{b}": (day(a), day(b)) for a in range(0, 500, 5) for b in range(500, 700, 2)}
+    assert len(cuts) == 10_000
+    targets = (day(690), day(691))
+    found = position_by_window(df, "x", targets, cuts).collect()
+    held = {r.day: r.x for r in df.collect()}
+    alike = {t: sorted(d for d in held if d.weekday() == t.weekday()) for t in (day(690), day(691))}
+    reached = sum(any(a <= d <= b for d in alike[t]) for t in alike for a, b in cuts.values())
+    assert len(found) == reached > 1.99 * len(cuts)
+    by_cut = {(r.day, r.window): r for r in found}
+    for name in list(cuts)[::497]:
+        first, last = cuts[name]
+        for t in (day(690), day(691)):
+            past = [v for d, v in held.items() if first <= d <= last and d.weekday() == t.weekday()]
+            hits = sum(v is not None and v <= held[t] for v in past)
+            row = by_cut[t, name]
+            assert (row.window_start, row.window_end, row.days) == (first, last, len(past))
+            assert abs(float(row.pct_at_or_below) - 100 * hits / len(past)) <= 0.0501
+
+
+def test_cuts_keep_null_keys_and_drop_empty_windows(series):
+    df = series(range(30), kind=PCT).withColumn("k", F.lit(None).cast("string"))
+    cuts = {"all": (FIRST_DAY, FIRST_DAY + timedelta(days=29)), "none": (date(2020, 1, 1), date(2020, 2, 1))}
+    found = position_by_window(df, "x", (date(2024, 1, 30),) * 2, cuts, ["k"]).collect()
+    assert [(r.k, r.window, r.days, r.pct_at_or_below) for r in found] == [(None, "all", 5, D("100.0"))]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 from operator import and_, or_
 
@@ -169,45 +169,50 @@ def position_by_window(
 ) -> DataFrame:
     """``position_in_history`` with one row per target and window.
 
-    Meant for sensitivity checks over many cuts: a day is copied only into the
-    windows that hold it, targets into all of them.
+    Meant for sensitivity checks over many cuts, thousands if need be. A target's comparable
+    days are counted once, in date order, and the counts are read off at the days on which
+    some window starts or ends; a window is then the difference of two of them. No day is
+    copied per window.
     """
     df = with_weekday(df, day) if "weekday" in strata else df
-    cuts = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("window"),
-                F.lit(first).alias("window_start"),
-                F.lit(last).alias("window_end"),
-            )
-            for name, (first, last) in windows.items()
-        ]
+    group = [*keys, *strata]
+    ends = sorted({d for first, last in windows.values() for d in (first - timedelta(days=1), last)})
+    place = {d: i + 1 for i, d in enumerate(ends)}
+    chosen = df.filter(within(day, targets)).select(
+        *[F.col(c).alias(f"_of_{c}") for c in group], F.col(day).alias("_day"), F.col(metric).alias("_value")
     )
-    is_target = within(day, targets)
-    placed = df.withColumn("_target", is_target).withColumn(
-        "_cut",
-        F.explode(
-            F.filter(
-                cuts,
-                lambda c: F.col("_target")
-                | F.col(day).between(c["window_start"], c["window_end"]),
-            )
-        ),
+    past = df.filter(within(day, (ends[0] + timedelta(days=1), ends[-1]))).select(*group, F.col(day).alias("_at"), F.col(metric).alias("_past"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group), F.lit(True))
+    target = [*(f"_of_{c}" for c in group), "_day", "_value"]
+    worse = F.coalesce((F.col("_past") <= F.col("_value")).cast("int"), F.lit(0))
+    met = chosen.join(past, same).select(*target, "_at", F.lit(1).alias("_one"), worse.alias("_worse"))
+    edges = F.split(F.lit(",".join(d.isoformat() for d in ends)), ",").cast("array<date>")
+    marks = chosen.select(*target, F.explode(edges).alias("_at"), F.lit(0).alias("_one"), F.lit(0).alias("_worse"))
+    upto = Window.partitionBy(*target).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = met.union(marks).withColumns({"_n": F.sum("_one").over(upto), "_le": F.sum("_worse").over(upto)})
+    # One array per target: the counts at every edge, in order.
+    at_edges = F.array_sort(F.collect_set(F.when(F.col("_at").isin(ends), F.struct("_at", "_n", "_le"))))
+    read = counted.groupBy(*target).agg(at_edges.alias("_edges"))
+
+    names = F.split(F.lit("\x1f".join(windows)), "\x1f")
+    first, last = (
+        F.split(F.lit(",".join(str(place[d]) for d in days)), ",").cast("array<int>")
+        for days in ([a - timedelta(days=1) for a, _ in windows.values()], [b for _, b in windows.values()])
     )
-    rows = placed.select(*df.columns, "_target", "_cut.*")
-    member = F.col(day).between(F.col("window_start"), F.col("window_end"))
-    ranked = _ranked(rows, metric, [*keys, *strata, "window"], {"w": member})
-    worse = F.when(F.col(metric).isNotNull(), F.col("_le_w")).otherwise(F.lit(0))
-    return ranked.filter(F.col("_target") & (F.col("_n_w") > 0)).select(
-        *keys,
-        day,
-        *strata,
-        metric,
-        "window",
-        "window_start",
-        "window_end",
-        F.col("_n_w").alias("days"),
-        share_of_counts(worse, F.col("_n_w")).alias("pct_at_or_below"),
+    cut = F.explode(F.arrays_zip(names.alias("window"), first.alias("first"), last.alias("last")))
+    rows = read.select("*", cut.alias("_cut"))
+    before, until = F.element_at("_edges", F.col("_cut.first")), F.element_at("_edges", F.col("_cut.last"))
+    rows = rows.withColumns({"days": until["_n"] - before["_n"], "_hits": until["_le"] - before["_le"]})
+    return rows.filter("days > 0").select(
+        *[F.col(f"_of_{c}").alias(c) for c in keys],
+        F.col("_day").alias(day),
+        *[F.col(f"_of_{c}").alias(c) for c in strata],
+        F.col("_value").alias(metric),
+        F.col("_cut.window").alias("window"),
+        F.date_add(before["_at"], 1).alias("window_start"),
+        until["_at"].alias("window_end"),
+        "days",
+        share_of_counts(F.col("_hits"), F.col("days")).alias("pct_at_or_below"),
     )
 
 

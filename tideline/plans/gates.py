@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +113,72 @@ def gate_non_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.size_report(read(spark, sf_dir, "events"), cap=10_000)
 
 
+# Raw orders as they come, not one row per day: days repeat and are missing, and a week has none.
+RAW_DAYS = """
+    SELECT o_orderpriority, CASE WHEN o_custkey % 97 = 0 THEN NULL ELSE o_orderdate::DATE END AS day,
+           CASE WHEN o_custkey % 31 = 0 THEN NULL ELSE o_totalprice END AS amount
+    FROM orders WHERE NOT o_orderdate::DATE BETWEEN DATE '1997-03-03' AND DATE '1997-03-09'"""
+
+
+def raw_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    lost = F.col("day").between(F.lit(date(1997, 3, 3)), F.lit(date(1997, 3, 9)))
+    return orders.filter(~lost).select(
+        "o_orderpriority",
+        F.when(F.col("o_custkey") % 97 != 0, F.col("day")).alias("day"),
+        F.when(F.col("o_custkey") % 31 != 0, F.col("o_totalprice")).alias("amount"),
+    )
+
+
+@query(
+    f"""
+    SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(lacking) AS BIGINT) AS null_rows,
+           CAST(sum(n - kinds) AS BIGINT) AS duplicate_rows,
+           count(*) FILTER (WHERE days <> d) AS series_with_gaps,
+           min(first) AS first_day, max(last) AS last_day
+    FROM (SELECT count(*) AS n, count(DISTINCT day) AS days, max(day) - min(day) + 1 AS d,
+                 count(DISTINCT coalesce(day, DATE '0001-01-01')) AS kinds,
+                 count(*) FILTER (WHERE day IS NULL OR amount IS NULL) AS lacking,
+                 min(day) AS first, max(day) AS last
+          FROM ({RAW_DAYS}) GROUP BY o_orderpriority)"""
+)
+def gate_series_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same checks on rows that repeat days, miss some and lack values."""
+    keys = ["o_orderpriority"]
+    return quality.series_report(raw_days(spark, sf_dir), keys=keys, required=["day", "amount"])
+
+
+FAULTY_WINDOWS = """
+    SELECT CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE o_orderdate::DATE END AS start_day,
+           o_orderdate::DATE + CAST(o_custkey % 9 AS INTEGER) - 2 AS end_day, o_orderpriority AS kind,
+           CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS source
+    FROM orders"""
+
+
+@query(
+    f"""
+    SELECT count(*) AS rows,
+           count(*) FILTER (WHERE start_day IS NULL OR end_day IS NULL OR kind IS NULL OR source IS NULL)
+             AS null_rows,
+           count(*) FILTER (WHERE start_day > end_day) AS inverted,
+           count(*) FILTER (WHERE kind NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) AS unknown_values,
+           count(*) - count(DISTINCT (coalesce(start_day, DATE '0001-01-01'), kind)) AS duplicate_rows
+    FROM ({FAULTY_WINDOWS})"""
+)
+def gate_calendar_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar's checks on windows that end too early, repeat and lack values."""
+    start = F.col("o_orderdate").cast("date")
+    windows = read(spark, sf_dir, "orders").select(
+        F.when(F.col("o_custkey") % 13 != 0, start).alias("start_day"),
+        F.date_add(start, (F.col("o_custkey") % 9 - 2).cast("int")).alias("end_day"),
+        F.col("o_orderpriority").alias("kind"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("source"),
+    )
+    return quality.calendar_report(
+        windows, ["1-URGENT", "2-HIGH", "3-MEDIUM"], ["start_day", "end_day", "kind", "source"]
+    )
+
+
 @query(
     f"""
     SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS null_rows,
