@@ -65,18 +65,50 @@ def test_few_rows_and_none(table):
         assert search(table([(0, [1.0])])).collect() == []
 
 
-def test_cover_trees_cover():
-    points = np.random.default_rng(2).normal(size=(900, 3))
+@pytest.mark.parametrize("width", [2, 3, 16, 64])
+def test_cover_trees_cover_and_separate(width):
+    from tideline.llm.covertree import BASE, LEAF
+
+    points = np.random.default_rng(2).normal(size=(900, width))
+    points[700:760] = points[5]  # copies
+    apart = lambda x, y: np.sqrt(((x - y) ** 2).sum(-1))
 
     def walk(node):
-        assert np.sqrt(((points[node.rows] - node.center) ** 2).sum(1)).max() <= node.radius + 1e-9
-        if node.children:
-            assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+        assert apart(points[node.rows], node.center).max() <= node.radius + 1e-6 <= BASE**node.level + 1e-5 or node.radius == 0
+        if not node.children:
+            assert len(node.rows) <= LEAF or node.radius < 1e-6
+            return 1
+        assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+        centers = np.stack([c.center for c in node.children])
+        between = apart(centers[:, None], centers[None, :]) + 1e9 * np.eye(len(centers))
+        reach = BASE ** (node.level - 1)
+        assert between.min() > reach - 1e-6 and all(c.radius <= reach + 1e-6 and c.level < node.level for c in node.children)
         return 1 + sum(map(walk, node.children))
 
     assert walk(cover_tree(points, np.arange(900))) > 5
 
 
+def _searched(points, queries, best=5):
+    from tideline.llm.covertree import DualSearch
+
+    found = DualSearch(points, np.arange(len(points)), queries, -1 - np.arange(len(queries)), np.full(len(queries), -np.inf), best)
+    found.run()
+    scores = queries @ points.T
+    want = np.lexsort((np.broadcast_to(np.arange(len(points)), scores.shape), -scores), axis=1)[:, :best]
+    assert (found.found == want).all()
+    return found
+
+
+def test_groups_of_queries_prune_groups_of_data():
+    """Where vectors lie in few dimensions, most pairs are never compared; where not, the result is still exact."""
+    rng = np.random.default_rng(9)
+    plane = rng.normal(size=(6_000, 3)) @ rng.normal(size=(3, 40)) * 10
+    near = _searched(np.floor(plane[:5_000]), np.floor(plane[5_000:]))
+    assert near.pruned > 0.2 * near.met and near.compared < 0.3 * 5_000 * 1_000
+    wide = np.floor(64 * rng.normal(size=(1_200, 64)))
+    _searched(wide[:1_000], wide[1_000:])
+
+
 def test_neighbours_with_copies(table):
     rows = odd_rows(np.random.default_rng(3))
     ids, v = valid(rows, zero=False)
@@ -103,3 +135,15 @@ def test_recall_on_real_vectors(spark, sf_dir):
         best = sorted((-x, i) for x, i in zip((u @ u[ids.index(q)]).tolist(), ids) if i != q)[:5]
         hits += len({i for _, i in best} & {i for _, i, _ in got})
     assert hits >= 0.95 * 5 * len(found)
+
+
+def test_given_vectors_are_mostly_pruned(spark, sf_dir):
+    from tideline.llm.covertree import DualSearch
+
+    v = [r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()]
+    v = np.floor(64 * np.array(v, float))
+    asked = v[::20]
+    floors = np.sort(asked @ v.T, axis=1)[:, -20].copy()
+    found = DualSearch(v, np.arange(len(v)), asked, -1 - np.arange(len(asked)), floors, 20)
+    found.run()
+    assert found.compared < 0.4 * len(v) * len(asked) and found.pruned > 0

@@ -16,88 +16,157 @@ from tideline.llm.vectors import matrix, search_shards, usable
 
 MOST_SAMPLED = 4_096  # bound of the sample that gives pivots and first thresholds
 SHARD_ROWS = 8_192
-LEAF = 96
-SHRINK = 0.7
+LEAF = 64  # points that are not split further
+GROUP = 4  # queries that are not split further
+BASE = 1.3  # radii of neighbouring levels
+NET_BLOCK = 512
+POINTS = 512  # compared between two looks at the floors
 SCALE = 64.0
 
 
 @dataclass
 class Node:
-    """Points ``rows``, all within ``radius`` of ``center``; a leaf has no children."""
+    """Points ``rows``, all within ``radius`` of ``center``, which is at most BASE ** ``level``.
+
+    Centers of its children are more than BASE ** (level - 1) apart, and each child is within that
+    of its own center. Nodes of at most ``leaf`` points, or of copies of one, are leaves.
+    """
 
     rows: np.ndarray
     center: np.ndarray
-    norm: float
     radius: float
+    level: int
     children: list[Node]
 
 
-def cover_tree(points: np.ndarray, rows: np.ndarray, radius: float | None = None, leaf: int = LEAF) -> Node:
-    """A cover tree: the children of a node are balls of SHRINK times its radius around points
-    of a net of it, every point in the ball of its nearest one.
+def _distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    squares = (points**2).sum(1)[:, None] + (others**2).sum(1)[None, :] - 2 * (points @ others.T)
+    return np.sqrt(np.maximum(squares, 0))
 
-    A node whose net keeps most points apart has no smaller scale and becomes a leaf; copies of
-    one point are a leaf of radius zero.
-    """
+
+def _net(points: np.ndarray, reach: float) -> np.ndarray:
+    """Indexes of points that are more than ``reach`` apart, so many that every point is within it of one."""
+    chosen: list[int] = [0]
+    for a in range(0, len(points), NET_BLOCK):
+        block = points[a : a + NET_BLOCK]
+        far = np.flatnonzero(_distances(block, points[chosen]).min(1) > reach)
+        among = _distances(block[far], block[far])
+        new: list[int] = []
+        for i in range(len(far)):
+            if not new or among[i, new].min() > reach:
+                new.append(i)
+        chosen += (a + far[new]).tolist()
+    return np.array(chosen)
+
+
+def cover_tree(points: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Node:
+    """The cover tree of ``points[rows]``, from the highest level down; levels that would have one node are skipped."""
     center = points[rows[0]]
-    distance = np.sqrt(((points[rows] - center) ** 2).sum(1))
+    distance = _distances(points[rows], center[None, :])[:, 0]
     radius = float(distance.max())
-    node = Node(rows, center, float(np.sqrt(center @ center)), radius, [])
-    if len(rows) <= leaf or radius == 0:
+    node = Node(rows, center, radius, 0, [])
+    if radius <= 0:
         return node
-    reach, net, nearest = radius * SHRINK, [0], distance.copy()
-    owner = np.zeros(len(rows), int)
-    while nearest.max() > reach and len(net) * 8 <= len(rows):
-        far = int(nearest.argmax())
-        other = np.sqrt(((points[rows] - points[rows[far]]) ** 2).sum(1))
-        closer = other < nearest
-        owner[closer], nearest[closer] = len(net), other[closer]
-        net.append(far)
-    if nearest.max() > reach:
+    node.level = int(np.ceil(np.log(radius) / np.log(BASE) - 1e-12))
+    if len(rows) <= leaf:
         return node
-    for k, first in enumerate(net):
-        members = np.flatnonzero(owner == k)
+    reach = BASE ** (node.level - 1)
+    net = _net(points[rows], reach)
+    owner = np.empty(len(rows), np.int64)
+    for a in range(0, len(rows), NET_BLOCK):
+        owner[a : a + NET_BLOCK] = _distances(points[rows[a : a + NET_BLOCK]], points[rows[net]]).argmin(1)
+    owner[net] = np.arange(len(net))
+    order = np.argsort(owner, kind="stable")
+    for first, members in zip(net, np.split(order, np.searchsorted(owner[order], np.arange(1, len(net))))):
         members = np.concatenate([[first], members[members != first]])
-        node.children.append(cover_tree(points, rows[members], leaf=leaf))
+        node.children.append(cover_tree(points, rows[members], leaf))
     return node
 
 
+class Flat:
+    """A tree as arrays: node k has the children ``first[k]`` to ``first[k] + many[k]``, and
+    its points are ``rows[start[k]:end[k]]``."""
+
+    def __init__(self, root: Node):
+        nodes, at = [root], 0
+        first, many = [], []
+        while at < len(nodes):
+            first.append(len(nodes))
+            many.append(len(nodes[at].children))
+            nodes += nodes[at].children
+            at += 1
+        self.first, self.many = np.array(first), np.array(many)
+        self.centers = np.stack([n.center for n in nodes])
+        self.radii = np.array([n.radius for n in nodes])
+        self.norms = np.sqrt((self.centers**2).sum(1))
+        self.rows = [n.rows for n in nodes]
+
+
 class DualSearch:
-    """The ``best`` highest inner products of each query, with ties to the smaller id."""
+    """The ``best`` highest inner products of each query, with ties to the smaller id.
+
+    Queries and data are indexed together: a group of queries, a node of their tree, meets a
+    frontier of data nodes. Those whose covering radii prove that no product reaches the
+    group's worst ``best``-th score are pruned for the whole group; then the frontier's large nodes are
+    opened or the group is split, whichever is wider. ``met`` and ``pruned`` count pairs of nodes,
+    ``compared`` pairs of points.
+    """
 
     def __init__(self, points, ids, queries, query_ids, floors, best: int):
         self.points, self.ids, self.queries, self.query_ids, self.best = points, ids, queries, query_ids, best
         self.floors = floors  # a score that at least ``best`` candidates reach
         self.scores = np.full((len(queries), best), -np.inf)
         self.found = np.full((len(queries), best), -1, np.int64)
+        self.met = self.pruned = self.compared = 0
 
     def run(self) -> None:
         if not len(self.points) or not len(self.queries):
             return
-        data, asked = cover_tree(self.points, np.arange(len(self.points))), cover_tree(self.queries, np.arange(len(self.queries)), leaf=64)
-        self._visit(asked, data)
+        self.data = Flat(cover_tree(self.points, np.arange(len(self.points))))
+        asked = cover_tree(self.queries, np.arange(len(self.queries)), GROUP)
+        self._visit(asked, np.zeros(1, np.int64))
 
-    @staticmethod
-    def bound(q: Node, r: Node) -> float:
-        """No query below q has a higher product with a point below r."""
-        return float(q.center @ r.center) + q.norm * r.radius + q.radius * r.norm + q.radius * r.radius
+    def bounds(self, q: Node, nodes: np.ndarray) -> np.ndarray:
+        """No query below q has a higher product with a point below the node."""
+        data, norm = self.data, float(np.sqrt(q.center @ q.center))
+        radii = data.radii[nodes]
+        return data.centers[nodes] @ q.center + norm * radii + q.radius * (data.norms[nodes] + radii)
 
-    def _visit(self, q: Node, r: Node) -> None:
-        # rounding of the bound must not prune an equal score
-        if self.bound(q, r) * (1 + 1e-12) + 1e-6 < self.floors[q.rows].min():
-            return
-        if not q.children and not r.children:
-            self._compare(q.rows, r.rows)
-        elif r.children and (not q.children or r.radius >= q.radius):
-            for child in sorted(r.children, key=lambda c: -self.bound(q, c)):
-                self._visit(q, child)
-        else:
-            for child in q.children:
-                self._visit(child, r)
-
-    def _compare(self, q: np.ndarray, r: np.ndarray) -> None:
-        for a in range(0, len(r), 4096):
-            part = r[a : a + 4096]
+    def _visit(self, q: Node, nodes: np.ndarray) -> None:
+        while True:
+            bound = self.bounds(q, nodes)
+            # rounding of the bound must not prune an equal score
+            good = bound * (1 + 1e-12) + 1e-6 >= self.floors[q.rows].min()
+            self.met += len(nodes)
+            self.pruned += int((~good).sum())
+            nodes, bound = nodes[good], bound[good]
+            if not len(nodes):
+                return
+            inner = self.data.many[nodes] > 0
+            if q.children and (not inner.any() or q.radius > self.data.radii[nodes[inner]].max()):
+                for child in q.children:
+                    self._visit(child, nodes)
+                return
+            if not inner.any():
+                order = np.argsort(-bound, kind="stable")
+                self._compare(q.rows, nodes[order], bound[order])
+                return
+            first, many = self.data.first[nodes[inner]], self.data.many[nodes[inner]]
+            opened = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            nodes = np.concatenate([nodes[~inner], opened])
+
+    def _compare(self, q: np.ndarray, nodes: np.ndarray, bound: np.ndarray) -> None:
+        """Leaves of descending bounds, until the next one's bound is below the group's worst floor."""
+        ends = np.cumsum([len(self.data.rows[k]) for k in nodes])
+        at = 0
+        while at < len(nodes):
+            if bound[at] * (1 + 1e-12) + 1e-6 < self.floors[q].min():
+                self.pruned += len(nodes) - at
+                return
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POINTS, "right")))
+            part = np.concatenate([self.data.rows[k] for k in nodes[at:upto]])
+            at = upto
+            self.compared += len(q) * len(part)
             scores = self.queries[q] @ self.points[part].T
             good = (scores >= self.floors[q][:, None]) & (self.query_ids[q][:, None] != self.ids[part][None, :])
             i, j = np.nonzero(good)
@@ -199,8 +268,7 @@ def top_products(
             matrix(left["v"], width), ids, matrix(right["v"], width), query_ids, right["floor"].to_numpy().copy(), best
         )
         found.run()
-        i, k = np.nonzero(found.found >= 0) if len(ids) and len(query_ids) else (np.zeros(0, int),) * 2
-        i, k = np.nonzero(np.isfinite(found.scores)) if len(query_ids) else (i, k)
+        i, k = np.nonzero(np.isfinite(found.scores))
         return pa.table({"query_id": query_ids[i], "vec_id": found.found[i, k], "score": found.scores[i, k]})
 
     result = search_shards(data, queries, n_queries, ["pivot", "part"], search, best)
