@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideline.session import remove_folder, scratch_path
 
+BATCH_SIZE, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES = "8m"
+
 
 def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     """``df``, computed once, written to the shared folder (in folders ``by``) and read back.
@@ -28,6 +31,9 @@ def discard(df: DataFrame) -> None:
 
 def let_workers_import(spark: SparkSession) -> None:
     """Let the Python workers of a local session find this package wherever the driver was
-    started. On a cluster it is installed or sent with --py-files."""
+    started; on a cluster it is installed or sent with --py-files. And send them texts in batches
+    of BATCH_BYTES, where the session leaves that at Spark's own larger size."""
     if spark.sparkContext.master.startswith("local["):
         spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+    if spark.conf.get(BATCH_SIZE, SPARKS_OWN) == SPARKS_OWN:
+        spark.conf.set(BATCH_SIZE, BATCH_BYTES)
