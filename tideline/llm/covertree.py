@@ -16,7 +16,9 @@ from tideline.llm.vectors import matrix, search_shards, usable
 
 MOST_SAMPLED = 4_096  # bound of the sample that gives pivots and first thresholds
 SHARD_ROWS = 8_192
-LEAF = 64  # points that are not split further
+LEAF = 8  # points that are not split further
+SAME = 1e-7  # relative distances that rounding makes of copies; whole numbers have none
+LOWEST = -1_000  # the level of copies
 GROUP = 4  # queries that are not split further
 BASE = 1.3  # radii of neighbouring levels
 NET_BLOCK = 512
@@ -64,8 +66,8 @@ def cover_tree(points: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Node:
     center = points[rows[0]]
     distance = _distances(points[rows], center[None, :])[:, 0]
     radius = float(distance.max())
-    node = Node(rows, center, radius, 0, [])
-    if radius <= 0:
+    node = Node(rows, center, radius, LOWEST, [])
+    if radius <= SAME * (1 + np.sqrt(center @ center)):
         return node
     node.level = int(np.ceil(np.log(radius) / np.log(BASE) - 1e-12))
     if len(rows) <= leaf:
