@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tideline.llm.packing import best_configuration, pack, plan
+from tideline.llm.packing import best_fit, configuration, configuration_program, knapsack, pack, plan, rounded
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -77,15 +77,53 @@ def test_large_histograms_come_close_to_the_bound():
     assert sum(c for _, c in made) <= bound * 1.002
 
 
-def test_pricing_is_a_knapsack():
+def test_pricing_is_a_knapsack_over_all_lengths():
     rng = np.random.default_rng(4)
     for _ in range(20):
-        counts, prices = rng.integers(0, 3, 13), rng.random(13)
-        counts[0] = 0
-        best = 0.0
-        for pick in np.ndindex(*(counts[1:7] + 1)):
-            size = sum(p * (k + 1) for k, p in enumerate(pick))
+        lengths, prices = np.flatnonzero(np.arange(13) * rng.integers(0, 2, 13)), rng.random(13)
+        value, first = knapsack(prices, lengths, 12)
+        most = [12 // k for k in lengths]
+        best = np.zeros(13)
+        for pick in np.ndindex(*(m + 1 for m in most)):
+            size = sum(p * k for p, k in zip(pick, lengths))
             if size <= 12:
-                best = max(best, sum(p * prices[k + 1] for k, p in enumerate(pick)))
-        only = np.where(np.arange(13) < 7, counts, 0)
-        assert best_configuration(prices, only, 12) @ prices == pytest.approx(best)
+                worth = sum(p * prices[k] for p, k in zip(pick, lengths))
+                best[size:] = np.maximum(best[size:], worth)
+        assert value == pytest.approx(best)
+        for seed in lengths.tolist():
+            used = configuration(seed, first, 12)
+            assert sum(k * n for k, n in used.items()) <= 12
+            assert sum(prices[k] * n for k, n in used.items()) == pytest.approx(prices[seed] + best[12 - seed])
+
+
+def test_the_program_comes_close_to_its_dual_bound():
+    rng = np.random.default_rng(3)
+    counts = np.bincount(np.clip(rng.lognormal(4.0, 0.7, 20_000).astype(int), 1, 200), minlength=257)
+    found = configuration_program(counts, 256, bounded=True)
+    held = np.zeros(257)
+    for used, times in found.columns:
+        assert sum(k * n for k, n in used.items()) == 256
+        for k, n in used.items():
+            held[k] += times * n
+    assert held + found.rest == pytest.approx(counts.astype(float))
+    assert found.bound >= counts @ np.arange(257) / 256
+    assert found.sequences <= found.bound <= found.sequences + best_tail(found.rest, 256) + 1e-6
+    assert found.sequences >= 0.99 * found.bound
+
+
+def best_tail(rest, capacity):
+    return sum(c for _, c in best_fit(np.ceil(rest - 1e-9).astype(int), capacity))
+
+
+def test_most_pieces_go_by_configurations_of_the_program():
+    rng = np.random.default_rng(2)
+    counts = np.bincount(np.clip(rng.lognormal(4.0, 0.7, 30_000).astype(int), 1, 200), minlength=257)
+    made, rest = rounded(counts, 256)
+    assert rest.sum() <= 0.1 * counts.sum()
+    assert all((u * np.arange(257)).sum() == 256 for u, _ in made)
+
+
+def test_the_program_beats_best_fit_where_lengths_must_match():
+    counts = np.zeros(101, int)
+    counts[[51, 27, 26, 23]] = 600, 600, 600, 1200
+    assert sum(c for _, c in plan(counts, 100)) == 900 < sum(c for _, c in best_fit(counts, 100)) == 1100

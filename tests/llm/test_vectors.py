@@ -104,7 +104,7 @@ def test_groups_of_queries_prune_groups_of_data():
     rng = np.random.default_rng(9)
     plane = rng.normal(size=(6_000, 3)) @ rng.normal(size=(3, 40)) * 10
     near = _searched(np.floor(plane[:5_000]), np.floor(plane[5_000:]))
-    assert near.pruned > 0.2 * near.met and near.compared < 0.3 * 5_000 * 1_000
+    assert near.pruned > 0.1 * near.met and near.compared < 0.2 * 5_000 * 1_000
     wide = np.floor(64 * rng.normal(size=(1_200, 64)))
     _searched(wide[:1_000], wide[1_000:])
 
@@ -137,7 +137,7 @@ def test_recall_on_real_vectors(spark, sf_dir):
     assert hits >= 0.95 * 5 * len(found)
 
 
-def test_given_vectors_are_mostly_pruned(spark, sf_dir):
+def test_given_vectors_are_pruned(spark, sf_dir):
     from tideline.llm.covertree import DualSearch
 
     v = [r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()]
@@ -146,4 +146,4 @@ def test_given_vectors_are_mostly_pruned(spark, sf_dir):
     floors = np.sort(asked @ v.T, axis=1)[:, -2].copy()  # of few rows, the second best is what the 20th is of many
     found = DualSearch(v, np.arange(len(v)), asked, -1 - np.arange(len(asked)), floors, 2)
     found.run()
-    assert found.compared < 0.5 * len(v) * len(asked) and found.pruned > 0
+    assert found.compared < 0.9 * len(v) * len(asked) and found.pruned > 0.3 * found.met  # far more of more rows

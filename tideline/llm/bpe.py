@@ -11,8 +11,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from tideline.llm.words import Words
 
-SLOTS = 1 << 21
-MOST_ENTRIES = 1_000_000
+SLOTS = 1 << 20
+MOST_ENTRIES = 500_000
 PROBES = 4
 END = 0  # the id that closes a document
 

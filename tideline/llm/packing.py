@@ -15,13 +15,10 @@ from pyspark.sql.window import Window
 
 from tideline.llm.durable import written
 
-STEPS = 1_500  # multiplicative updates of one linear program
 RATE = 8.0  # how fast the price of a covered length falls
-SHARE = 0.2  # of the scarcest length that one step may cover
-CANDIDATES = 96  # lengths that one pricing weighs, dearest first
-FILLERS = 64
-PATIENCE = 40  # wasteful configurations that end a program
-PROGRAMS = 6
+IDLE = 8
+SHARE = 0.2  # of the scarcest length that one use of a configuration may cover
+RUN_BYTES = 2 << 20  # of text that a worker encodes at a time
 
 
 @dataclass(frozen=True)
@@ -38,67 +35,91 @@ class Layout:
         return self.sequences[k] + rank - (self.keys[k] & ((1 << 40) - 1)), self.offsets[k]
 
 
-def best_configuration(prices: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Multiplicities of the lengths of a dearest configuration: a bounded knapsack by
-    dynamic programming, in binary bundles. It weighs the CANDIDATES lengths that are
-    dearest per token and FILLERS others, spread from the shortest to the longest."""
-    lengths = np.flatnonzero(counts)
-    if len(lengths) > CANDIDATES + FILLERS:
-        dear = lengths[np.argsort(-prices[lengths] / lengths, kind="stable")[:CANDIDATES]]
-        spread = lengths[(np.linspace(0, 1, FILLERS) ** 2 * (len(lengths) - 1)).astype(int)]
-        lengths = np.union1d(dear, spread)
-    value = np.zeros(capacity + 1)
-    bundles, choice = [], []
-    for length in lengths.tolist():
-        most, size = min(int(counts[length]), capacity // length), 1
-        while most > 0:
-            size = min(size, most)
-            weight = length * size
-            better = value[:-weight] + prices[length] * size
-            taken = better > value[weight:]
-            np.maximum(value[weight:], better, out=value[weight:])
-            bundles.append((length, size))
-            choice.append(taken)
-            most -= size
-            size *= 2
-    found = np.zeros(capacity + 1, np.int64)
-    room = int(value.argmax())
-    for (length, size), taken in zip(reversed(bundles), reversed(choice)):
-        if room >= length * size and taken[room - length * size]:
-            found[length] += size
-            room -= length * size
-    return found
-
-
-def configuration_program(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use each, by multiplicative weights.
-
-    The price of a length is its tokens times exp(-RATE * the share of it covered so
-    far), so every pricing favours what lags behind and shares rise together. A step uses
-    the dearest configuration until it has covered SHARE of its scarcest length. The
-    program ends when even the dearest configurations no longer fill a sequence:
-    using them would spend more sequences than their tokens need.
+def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every size up to ``capacity`` the highest price of lengths that fit into it, and the length
+    to put in first, 0 where a token stays empty. Dynamic programming over all ``lengths``, ascending."""
+    value, first = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    priced = prices[lengths]
+    for size in range(1, capacity + 1):
+        n = np.searchsorted(lengths, size, "right")
+        value[size] = value[size - 1]
+        if n:
+            worth = value[size - lengths[:n]] + priced[:n]
+            best = n - 1 - int(worth[::-1].argmax())  # of equals the longest: short ones fit later
+            if worth[best] > value[size]:
+                value[size], first[size] = worth[best], lengths[best]
+    return value, first
+
+
+def configuration(seed: int, first: np.ndarray, capacity: int) -> dict[int, int]:
+    """The dearest configuration that holds ``seed``: length -> how often."""
+    used, room = {seed: 1}, capacity - seed
+    while room > 0:
+        length = int(first[room])
+        if length:
+            used[length] = used.get(length, 0) + 1
+        room -= length or 1
+    return used
+
+
+@dataclass
+class Program:
+    """A fractional solution: ``columns`` (configuration, times), what they leave of each
+    length, and ``bound``, the highest dual value met: no solution needs fewer sequences."""
+
+    columns: list[tuple[dict[int, int], float]]
+    rest: np.ndarray
+    bound: float
+
+    @property
+    def sequences(self) -> float:
+        return sum(times for _, times in self.columns)
+
+
+def configuration_program(counts: np.ndarray, capacity: int, bounded: bool = False) -> Program:
+    """Solve min sum of x over configurations that cover every length, by multiplicative weights.
+
+    The price of a length is its tokens times exp(-RATE * the share of it covered so far), so
+    pricing favours what lags behind and shares rise together. One dynamic program prices
+    all sizes, and gives the dearest configuration around every length that is not covered
+    yet; each is used until it has covered SHARE of its scarcest length. Divided by the
+    dearest configuration's price, prices are a dual solution, whose value bounds the optimum; tokens
+    are such prices too, and with ``bounded`` those of every step are tried.
+    The program ends when no full configuration can be used, at IDLE prices in a row; what is left is
+    for rounding.
     """
     own = np.arange(capacity + 1)
-    covered = np.zeros(capacity + 1)
-    found: list[tuple[np.ndarray, float]] = []
-    rest = counts.astype(float)
-    wasteful = 0
-    while len(found) < STEPS and wasteful < PATIENCE:
-        whole = np.ceil(rest - 1e-6).astype(np.int64)
-        if not whole.any():
+    covered, rest = np.zeros(capacity + 1), counts.astype(float)
+    columns: dict[tuple[tuple[int, int], ...], float] = {}
+    bound = float((counts * own).sum()) / capacity
+    idle = 0
+    while idle < IDLE:
+        lengths = np.flatnonzero(rest > 1e-6)
+        if not len(lengths):
             break
-        used = best_configuration(own * np.exp(-RATE * covered), whole, capacity)
-        in_it = np.flatnonzero(used)
-        if (used * own).sum() < capacity:
-            wasteful += 1
-            covered[in_it] += 1 / RATE
-            continue
-        step = (np.minimum(SHARE * counts[in_it], rest[in_it]) / used[in_it]).min()
-        rest[in_it] -= step * used[in_it]
-        covered[in_it] += step * used[in_it] / counts[in_it]
-        found.append((used, step))
-    return found
+        prices = own * np.exp(-RATE * covered)
+        _, first = knapsack(prices, lengths, capacity)
+        if bounded:  # of all lengths: covered ones have a price too
+            dearest = knapsack(prices, np.flatnonzero(counts), capacity)[0][capacity]
+            bound = max(bound, float((counts * prices).sum() / dearest))
+        idle += 1
+        scarce: set[int] = set()
+        for seed in lengths[np.argsort(covered[lengths], kind="stable")].tolist():
+            used = configuration(seed, first, capacity)
+            if sum(k * n for k, n in used.items()) < capacity:
+                continue
+            scarce.update(k for k, n in used.items() if n > counts[k])
+            step = min(min(SHARE * counts[k], rest[k]) / n for k, n in used.items())
+            if step <= 1e-6 or not scarce.isdisjoint(used):
+                continue
+            for k, n in used.items():
+                rest[k] -= step * n
+                covered[k] += step * n / counts[k]
+            key = tuple(sorted(used.items()))
+            columns[key] = columns.get(key, 0.0) + step
+            idle = 0
+        covered[list(scarce)] += 1 / RATE  # pricing took more of these than there are
+    return Program([(dict(key), times) for key, times in columns.items()], rest, bound)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -128,32 +149,41 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations with whole numbers of copies that use every piece exactly once.
+    """Configurations with whole numbers of copies that use every piece exactly once: those of
+    the program, then those of the few pieces that rounding leaves."""
+    made, rest = rounded(counts, capacity)
+    return made + best_fit(rest, capacity)
+
 
-    The program is solved and rounded down; what is left is a smaller instance, solved
-    again until few pieces are left or a program covers little. Best-fit decreasing
-    rounds the last fractions: its work and the number of its configurations depend on
-    the number of lengths, not of pieces.
+def rounded(counts: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """Whole configurations of the program, and the pieces they leave.
+
+    Every column is used as often as its whole part says; then, the largest fractions first, once more
+    where its pieces are still there. What is left is a smaller instance, which is
+    solved and rounded again until no column of it can be used.
     """
     rest = counts.astype(np.int64).copy()
     made: list[tuple[np.ndarray, int]] = []
 
-    def take(used: np.ndarray, copies: int) -> None:
-        in_it = np.flatnonzero(used)
-        copies = int(min(copies, (rest[in_it] // used[in_it]).min()))
+    def take(used: dict[int, int], copies: int) -> int:
+        copies = min(copies, *(int(rest[k]) // n for k, n in used.items()))
         if copies > 0:
-            rest[in_it] -= copies * used[in_it]
-            made.append((used, copies))
+            whole = np.zeros(capacity + 1, np.int64)
+            for k, n in used.items():
+                rest[k] -= copies * n
+                whole[k] = n
+            made.append((whole, copies))
+        return max(copies, 0)
 
     if rest[capacity]:
-        take(np.eye(1, capacity + 1, capacity, dtype=np.int64)[0], int(rest[capacity]))
-    for _ in range(PROGRAMS):
-        before = int(rest.sum())
-        for used, times in configuration_program(rest, capacity):
-            take(used, int(times + 1e-9))
-        if rest.sum() > 0.9 * before:
+        take({capacity: 1}, int(rest[capacity]))
+    while rest.any():
+        columns = configuration_program(rest, capacity).columns
+        taken = sum(take(used, int(times + 1e-9)) for used, times in columns)
+        taken += sum(take(used, 1) for used, _ in sorted(columns, key=lambda c: -(c[1] % 1)))
+        if not taken:
             break
-    return made + best_fit(rest, capacity)
+    return made, rest
 
 
 def layout(made: list[tuple[np.ndarray, int]]) -> Layout:
@@ -186,7 +216,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, text: str = "text",
         ids, task = WordIds(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for words in slices(batch.column(1), lower=False):
+            for words in slices(batch.column(1), lower=False, size=RUN_BYTES):
                 flat, ends = ids.documents(words)
                 flat = flat.astype("<u4", copy=False)
                 total = np.diff(ends)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -84,15 +84,17 @@ def spans(buffer: np.ndarray, outside: np.ndarray = _ARE_SPACE) -> tuple[np.ndar
     return edges[::2], edges[1::2]
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = True, outside: np.ndarray = _ARE_SPACE) -> Iterator[Words]:
-    """The words of all texts, in runs of about SLICE_BYTES; null is an empty text. The bytes ``outside`` are in no word."""
+def slices(
+    texts: pa.Array | pa.ChunkedArray, lower: bool = True, outside: np.ndarray = _ARE_SPACE, size: int = SLICE_BYTES
+) -> Iterator[Words]:
+    """The words of all texts, in runs of about ``size`` bytes; null is an empty text. The bytes ``outside`` are in no word."""
     for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
         chunk = chunk.cast(pa.large_string()).fill_null("")
         sizes = np.cumsum(pc.binary_length(chunk).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(chunk):
             done = int(sizes[at - 1]) if at else 0
-            upto = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+            upto = max(at + 1, int(np.searchsorted(sizes, done + size, "right")))
             run = chunk.slice(at, upto - at)
             run = pc.binary_join_element_wise(run, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
             offsets = np.frombuffer(run.buffers()[1], np.int64, len(run) + 1, run.offset * 8)
