@@ -27,12 +27,15 @@ class Graph:
     when full.
     """
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, edges: np.ndarray | None = None):
         self.points = points.astype(np.float32)
         n = len(points)
-        self.edges = np.full((n, DEGREE), -1, np.int32)
         mean = self.points.mean(0) if n else None
         self.entry = int((self.points @ mean).argmax()) if n else 0
+        if edges is not None:
+            self.edges = edges
+            return
+        self.edges = np.full((n, DEGREE), -1, np.int32)
         order = np.random.default_rng(11).permutation(n)
         order = np.concatenate([[self.entry], order[order != self.entry]]) if n else order
         done = 1
@@ -128,9 +131,10 @@ def nearest(
     """query_id, rank, vec_id, score: per query (ids divisible by ``every``) the ``best`` largest
     cosines that beam searches over all shards find, ties to the smaller id.
 
-    Every row is in one shard's graph; a query searches each shard, and scores are computed in
-    double precision from the original vectors. Rows with equal directions are one point of
-    the graph with all their ids, so copies neither crowd out its edges nor get lost.
+    Every row is in one shard's graph, which is built once and stored; a query searches each shard, and scores
+    are computed in double precision from the original vectors. Rows with equal directions are one point of
+    the graph, and all of them are looked at where it is found: copies neither crowd out its edges
+    nor get lost.
 
     Vectors that are null, zero, or hold a null or non-finite component, and rows without an
     id, take no part; shorter vectors are as if they ended in zeros. A query never finds
@@ -147,27 +151,43 @@ def nearest(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     )
 
+    def build(part: pa.Table) -> pa.Table:
+        """The shard's rows by point and id; the first of a point carries its edges."""
+        part = part.sort_by("vec_id")
+        unit = _directions(matrix(part["v"], width))
+        _, first, back = np.unique(unit, axis=0, return_index=True, return_inverse=True)
+        back = back.ravel()
+        edges = Graph(unit[first]).edges
+        order = np.argsort(back, kind="stable")
+        opens = np.diff(back[order], prepend=-1) > 0
+        own = [edges[p][edges[p] >= 0].tolist() if new else None for p, new in zip(back[order], opens)]
+        part = part.take(pa.array(order))
+        return part.append_column("point", pa.array(back[order], pa.int32())).append_column("edges", pa.array(own, pa.list_(pa.int32())))
+
+    # Graphs are built once and kept beside their rows, however many blocks of queries come.
+    kinds = "vec_id long, v array<double>, shard int, point int, edges array<int>"
+    data = written(data.select("vec_id", "v", "shard").groupBy("shard").applyInArrow(build, kinds), "graphs")
+
     def search(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        own, asked = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(own) and len(asked):
+        if len(left) and len(right):
+            left = left.sort_by([("point", "ascending"), ("vec_id", "ascending")])
+            own, asked = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
             v, q = matrix(left["v"], width), matrix(right["v"], width)
             v_size, q_size = np.sqrt((v**2).sum(1)), np.sqrt((q**2).sum(1))
-            unit, q_unit = v / np.abs(v).max(1)[:, None], q / np.abs(q).max(1)[:, None]
-            unit, q_unit = (x / np.sqrt((x**2).sum(1))[:, None] for x in (unit, q_unit))
-            order = np.argsort(own, kind="stable")
-            _, point, back = np.unique(unit[order].astype(np.float32), axis=0, return_index=True, return_inverse=True)
-            holders = np.argsort(back.ravel(), kind="stable")  # by point, then by id
-            many = np.bincount(back.ravel())
+            many = np.bincount(left["point"].to_numpy())
             start = np.cumsum(many) - many
-            graph = Graph(unit[order][point])
+            lists = left["edges"].combine_chunks().drop_null()
+            sizes = np.diff(lists.offsets.to_numpy())
+            edges = np.full((len(many), DEGREE), -1, np.int32)
+            edges[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
+            graph = Graph(_directions(v[start]), edges)
+            q_unit = _directions(q)
             for at in range(0, len(q), BATCH):
-                hits, _ = graph.search(q_unit[at : at + BATCH].astype(np.float32), SEARCH_BEAM)
+                hits, _ = graph.search(q_unit[at : at + BATCH], SEARCH_BEAM)
                 for i, line in enumerate(hits, at):
                     line = line[line >= 0]
-                    # one more than wanted of each point, as the query itself may be among them
-                    rows = np.concatenate([holders[start[p] : start[p] + min(many[p], best + 1)] for p in line])
-                    rows = order[rows]
+                    rows = np.repeat(start[line] - (np.cumsum(many[line]) - many[line]), many[line]) + np.arange(many[line].sum())
                     rows = rows[own[rows] != asked[i]]
                     score = (v[rows] / v_size[rows][:, None]) @ (q[i] / q_size[i])
                     exact = np.einsum("kd,d->k", v[rows], q[i]) / (v_size[rows] * q_size[i])
@@ -178,3 +198,9 @@ def nearest(
         return pa.table(dict(zip(("query_id", "vec_id", "score"), parts)))
 
     return search_shards(data, queries, size["q"] or 0, ["shard"], search, best)
+
+
+def _directions(v: np.ndarray) -> np.ndarray:
+    """Vectors of length one, in 32 bits; scaled first, so that no square overflows or vanishes."""
+    unit = v / np.abs(v).max(1)[:, None]
+    return (unit / np.sqrt((unit**2).sum(1))[:, None]).astype(np.float32)
