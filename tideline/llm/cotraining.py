@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.durable import written
 from tideline.llm.sampling import sampled
 
-MOST_LABELLED = 12_000  # bounds of the training sample
-MOST_UNLABELLED = 12_000
+MOST_LABELLED = 12_000  # labelled rows that the first models are fitted on
 ROUNDS = 3
+STEPS = 3  # Newton steps of a round, each a pass over the features of all unlabelled rows
 CONFIDENT = 0.95
-GROWTH = 1_000  # pseudo-labels one view may hand over in a round
+LEAST_WEIGHT = 1_000.0  # of all pseudo-labels of a view together, or that of the labelled rows if more
 BINS = 12
 METADATA_BUCKETS = 256
 ACCEPT = 0.5
@@ -83,21 +84,28 @@ class View:
     """A logistic model over one-hot features, with a calibration of its logits."""
 
     width: int
-    weights: np.ndarray = field(default=None)
+    weights: np.ndarray = field(init=False)
     slope: float = 1.0
     shift: float = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Newton steps on the logistic loss with a ridge, from the last weights on."""
-        dense = self._dense(x)
-        w = np.zeros(dense.shape[1]) if self.weights is None else self.weights
-        ridge = np.full(len(w), 1.0)
+    def __post_init__(self):
+        self.weights = np.zeros(self.width + 1)
+
+    def moments(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The logistic loss's second derivatives, and its gradient as one more row."""
+        total = np.zeros((self.width + 2, self.width + 1))
+        for a in range(0, len(x), 4096):
+            dense, w = self._dense(x[a : a + 4096]), weight[a : a + 4096]
+            p = _logistic(dense @ self.weights)
+            total[:-1] += (dense * (w * p * (1 - p))[:, None]).T @ dense
+            total[-1] += dense.T @ (w * (p - y[a : a + 4096]))
+        return total
+
+    def step(self, moments: np.ndarray) -> None:
+        """A Newton step on the loss with a ridge."""
+        ridge = np.full(self.width + 1, 1.0)
         ridge[-1] = 1e-3
-        for _ in range(8 if self.weights is None else 3):
-            p = 1 / (1 + np.exp(-np.clip(dense @ w, -30, 30)))
-            h = (dense * (p * (1 - p))[:, None]).T @ dense + np.diag(ridge)
-            w = w - np.linalg.solve(h, dense.T @ (p - y) + ridge * w)
-        self.weights = w
+        self.weights = self.weights - np.linalg.solve(moments[:-1] + np.diag(ridge), moments[-1] + ridge * self.weights)
 
     def _dense(self, x: np.ndarray) -> np.ndarray:
         dense = np.zeros((len(x), self.width + 1))
@@ -134,50 +142,146 @@ class QualityModel:
     metadata: View
     prior: float  # logit
 
-    def content_features(self, values: np.ndarray) -> np.ndarray:
-        """One feature per measure: the bin it falls in."""
-        bins = np.stack([np.searchsorted(b, v, "right") for b, v in zip(self.borders, values.T)], 1)
-        return bins + np.arange(MEASURES) * BINS
-
     def scores(self, values: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated logits of both views, and their sum less the prior both contain."""
-        a, b = self.content.calibrated(self.content_features(values)), self.metadata.calibrated(buckets)
+        a, b = self.content.calibrated(content_features(self.borders, values)), self.metadata.calibrated(buckets)
         return a, b, a + b - self.prior
 
 
-def cotrain(values, buckets, labels) -> QualityModel:
-    """``labels`` is 1, 0, or -1 for rows without one.
+def handed(givers: tuple[View, View], features: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """What each view hands to the other: 1 or 0 for rows it is CONFIDENT of, else -1."""
+    out = []
+    for view, x in zip(givers, features):
+        p = _logistic(view.calibrated(x))
+        out.append(np.where(p >= CONFIDENT, 1, np.where(1 - p >= CONFIDENT, 0, -1)))
+    return out
+
+
+def handed_counts(givers: tuple[View, View], features: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Per view how many rows it hands over as 0 and as 1."""
+    return np.array([[(given == label).sum() for label in (0, 1)] for given in handed(givers, features)])
+
+
+def handed_moments(
+    givers: tuple[View, View], takers: tuple[View, View], weights: np.ndarray, features: tuple[np.ndarray, np.ndarray]
+) -> list[np.ndarray]:
+    """Per view the moments of the rows that the other hands to it, each label with its weight."""
+    given = handed(givers, features)
+    out = []
+    for number, (view, x) in enumerate(zip(takers, features)):
+        labels = given[1 - number]
+        rows = labels >= 0
+        out.append(view.moments(x[rows], labels[rows], weights[1 - number][labels[rows]]))
+    return out
+
+
+class Local:
+    """Unlabelled rows at hand, as features of both views."""
+
+    def __init__(self, content: np.ndarray, metadata: np.ndarray):
+        self.features = content, metadata
+
+    def counts(self, givers) -> np.ndarray:
+        return handed_counts(givers, self.features)
+
+    def moments(self, givers, takers, weights) -> list[np.ndarray]:
+        return handed_moments(givers, takers, weights, self.features)
 
-    A fifth of the labelled rows calibrates and trains nothing. In each round both views
-    are fitted on their own set and calibrated; each then hands its most confident
-    judgements on unlabelled rows (beyond CONFIDENT, in the proportion of the classes,
-    at most GROWTH) to the training set of the other.
+
+class Stored:
+    """Unlabelled rows of any number, in a table of (features binary): a byte per measure and per metadata field.
+
+    Tasks add up what their rows hand over; the driver sees sums whose size the widths of the views fix.
     """
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def _summed(self, work) -> dict[tuple[int, int, int], float]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: list[np.ndarray] | None = None
+            for batch in batches:
+                rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, MEASURES + 4).astype(np.int64)
+                found = work((rows[:, :MEASURES] + np.arange(MEASURES) * BINS, rows[:, MEASURES:]))
+                totals = found if totals is None else [t + f for t, f in zip(totals, found)]
+            for view, total in enumerate(totals or []):
+                i, j = np.nonzero(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(i), view, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j].astype(float))],
+                    ["view", "i", "j", "value"],
+                )
+
+        sums = self.table.select("features").mapInArrow(run, "view int, i int, j int, value double")
+        return {(r["view"], r["i"], r["j"]): r["s"] for r in sums.groupBy("view", "i", "j").agg(F.sum("value").alias("s")).collect()}
+
+    def counts(self, givers) -> np.ndarray:
+        out = np.zeros((2, 2))
+        for (view, _, label), n in self._summed(lambda x: [c[None, :] for c in handed_counts(givers, x)]).items():
+            out[view, label] = n
+        return out
+
+    def moments(self, givers, takers, weights) -> list[np.ndarray]:
+        out = [np.zeros((v.width + 2, v.width + 1)) for v in takers]
+        for (view, i, j), value in self._summed(lambda x: handed_moments(givers, takers, weights, x)).items():
+            out[view][i, j] = value
+        return out
+
+
+def bin_borders(values: np.ndarray) -> np.ndarray:
     grid = np.linspace(0, 1, BINS + 1)[1:-1]
-    borders = np.stack([np.quantile(v, grid) for v in values.T]) if len(values) else np.zeros((MEASURES, BINS - 1))
-    views = View(MEASURES * BINS), View(METADATA_BUCKETS)
+    return np.stack([np.quantile(v, grid) for v in values.T]) if len(values) else np.zeros((MEASURES, BINS - 1))
+
+
+def content_features(borders: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """One feature per measure: the bin it falls in."""
+    bins = np.stack([np.searchsorted(b, v, "right") for b, v in zip(borders, values.T)], 1)
+    return bins + np.arange(MEASURES) * BINS
+
+
+def cotrain(values, buckets, labels, pool=None) -> QualityModel:
+    """``labels`` is 1, 0, or -1 for rows without one; more rows without one come in ``pool``.
+
+    A fifth of the labelled rows calibrates and trains nothing. Both views are fitted on the
+    rest and calibrated. In each round each view hands the other its label of every unlabelled row
+    that it is CONFIDENT of, and takes STEPS Newton steps on the labelled rows and what it was
+    handed. The labels handed over weigh as much as the labelled rows together (LEAST_WEIGHT if
+    these are fewer, one each if the pool is small), divided among the classes in their proportion.
+    """
     known = np.flatnonzero(labels >= 0)
+    borders = bin_borders(values)
+    views = View(MEASURES * BINS), View(METADATA_BUCKETS)
     share = (labels[known].sum() + 1) / (len(known) + 2)
     model = QualityModel(borders, *views, float(np.log(share / (1 - share))))
-    inputs = (model.content_features(values) if len(values) else np.zeros((0, MEASURES), int), buckets)
+    inputs = (content_features(borders, values) if len(values) else np.zeros((0, MEASURES), int), buckets)
     spare = np.arange(len(known)) % 5 == 0
     calibration, training = known[spare], known[~spare]
     free = np.flatnonzero(labels < 0)
-    given: list[dict[int, int]] = [{}, {}]
-    for number in range(ROUNDS + 1):
-        for view, x, more in zip(views, inputs, given):
-            rows = np.concatenate([training, np.array(list(more), np.int64)])
-            y = np.concatenate([labels[training], np.array(list(more.values()), np.int64)])
-            view.fit(x[rows], y)
-            if len(calibration) and len(training):
+    if pool is None:
+        pool = Local(*(x[free] for x in inputs)) if len(free) else None
+
+    def step(more) -> None:
+        for view, x, extra in zip(views, inputs, more):
+            view.step(view.moments(x[training], labels[training], np.ones(len(training))) + extra)
+
+    def calibrate() -> None:
+        if len(calibration) and len(training):
+            for view, x in zip(views, inputs):
                 view.calibrate(x[calibration], labels[calibration])
-        if number == ROUNDS or not len(free):
-            break
-        for giver, x, taker in ((views[0], inputs[0], given[1]), (views[1], inputs[1], given[0])):
-            p = _logistic(giver.calibrated(x[free]))
-            for label, sure, most in ((1, p, share), (0, 1 - p, 1 - share)):
-                best = np.argsort(-sure, kind="stable")[: int(GROWTH * most)]
-                taker.update((int(free[i]), label) for i in best if sure[i] >= CONFIDENT and int(free[i]) not in taker)
+
+    for _ in range(8):
+        step((0, 0))
+    calibrate()
+    for _ in range(ROUNDS if pool is not None and len(training) else 0):
+        givers = tuple(replace(v) for v in views)
+        for giver, view in zip(givers, views):
+            giver.weights = view.weights
+        counts = pool.counts(givers)
+        whole = np.minimum(counts.sum(1), max(float(len(training)), LEAST_WEIGHT))
+        weights = whole[:, None] * np.array([1 - share, share])[None, :] / np.maximum(counts, 1)
+        weights = np.minimum(weights, 1.0)
+        for _ in range(STEPS):
+            step(pool.moments(givers, views, weights))
+        calibrate()
     return model
 
 
@@ -212,24 +316,54 @@ def _views(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *meta, *more)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> QualityModel:
-    """A model from a bounded sample: MOST_LABELLED labelled and MOST_UNLABELLED other rows."""
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    label: str = "quality",
+    most_labelled: int = MOST_LABELLED,
+) -> QualityModel:
+    """A model fitted on a bounded sample of ``most_labelled`` labelled rows, and on all documents
+    without a label, as far as the views are sure of them."""
     base = _views(docs, doc_id, text)
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter(
         "label IS NOT NULL AND id IS NOT NULL"
     )
     # a row labelled more than once counts once, with its lowest label
     known = known.groupBy("id").agg(F.min("label").alias("label"))
-    picked = sampled(known, "id", MOST_LABELLED, known.count(), 1)
-    # ids within MOST_LABELLED
+    picked = sampled(known, "id", most_labelled, known.count(), 1)
+    # ids within most_labelled
     labelled = base.join(F.broadcast(picked), "id").select("label", "text", "source", "lang", "n_chars")
-    others = sampled(base, "id", MOST_UNLABELLED, base.count(), 2).join(known, "id", "left_anti")
-    others = others.select(F.lit(-1).alias("label"), "text", "source", "lang", "n_chars")
-    rows = sorted((tuple(r["measures"]), tuple(r["buckets"]), r["label"]) for r in _examples(labelled.unionByName(others)).toLocalIterator())
+    rows = sorted((tuple(r["measures"]), tuple(r["buckets"]), r["label"]) for r in _examples(labelled).toLocalIterator())
     order = np.random.default_rng(1).permutation(len(rows))
     values = np.array([rows[i][0] for i in order]).reshape(-1, MEASURES)
     buckets = np.array([rows[i][1] for i in order], int).reshape(-1, 4)
-    return cotrain(values, buckets, np.array([rows[i][2] for i in order], int))
+    marks = np.array([rows[i][2] for i in order], int)
+    if not len(rows):
+        return cotrain(values, buckets, marks)
+    others = _features(base, bin_borders(values)).join(known.select("id"), "id", "left_anti").select("features")
+    return cotrain(values, buckets, marks, Stored(written(others, "unlabelled")))
+
+
+def _features(base: DataFrame, borders: np.ndarray) -> DataFrame:
+    """(id, features): the bins and buckets of every row, as bytes."""
+    kind = base.schema["id"].dataType.simpleString()
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tideline.llm.words import slices
+
+        for batch in batches:
+            meta = [metadata_buckets(*m) for m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            for words in slices(batch.column(1)):
+                n = len(words.bounds) - 1
+                bins = content_features(borders, measures(words)) - np.arange(MEASURES) * BINS
+                both = np.concatenate([bins, np.array(meta[words.first : words.first + n], int).reshape(-1, 4)], 1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(words.first, n), pa.array([r.tobytes() for r in both], pa.binary())], ["id", "features"]
+                )
+
+    return base.select("id", "text", "source", "lang", "n_chars").mapInArrow(extract, f"id {kind}, features binary")
 
 
 def _judged(model: QualityModel, texts: pa.Array, metadata: list[pa.Array]) -> Iterator[tuple[int, int, tuple]]:
