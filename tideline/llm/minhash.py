@@ -240,7 +240,7 @@ def _rest(open_: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -
     return x.join(y, on).select(*_sides("a_node", "b_node"))
 
 
-def near_duplicates(
+def duplicate_groups(
     docs: DataFrame,
     text: str = "text",
     doc_id: str = "doc_id",
@@ -332,3 +332,15 @@ def _named(signed: DataFrame, held: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.when(F.col("doc_id").isNotNull(), component)).alias("kept"),
         "text_hash",
     )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    percent: int = PERCENT,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """``duplicate_groups`` without text_hash, for tables whose ids tell rows apart."""
+    return duplicate_groups(docs, text, doc_id, percent, bands, rows).drop("text_hash")
