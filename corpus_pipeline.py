@@ -44,7 +44,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id, and texts without words, are no copies and stay; repeated rows
     of the kept document stay repeated.
     """
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text"))
+    groups = minhash.duplicate_groups(docs).filter("NOT kept")
+    gone = groups.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text"))
     same = (docs["doc_id"] == F.col("gone_id")) & (minhash.text_hash("text") == F.col("gone_text"))
     return docs.join(gone.distinct(), same, "left_anti").select(*docs.columns)
 
