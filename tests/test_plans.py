@@ -108,6 +108,13 @@ def test_counted_values_are_shuffled_once(whole_plan, name):
     assert (count("FileScan", text), count("ReusedExchange", text)) == (1, 1)
 
 
+@pytest.mark.parametrize("name", ["gate_gaps", "gate_gaps_by_supplier"])
+def test_gaps_fold_to_days_once(spark, sf_dir, name):
+    """Before the roll-up's shuffle and after it; every further fold by day holds all groups of a task again."""
+    text = plan(all_queries()[name](spark, sf_dir))
+    assert count(r"HashAggregate\(keys=\[[^\]]*(?:day|_groupingexpression)#", text) == 2
+
+
 def test_percentiles_hold_no_group(spark, sf_dir):
     text = plan(all_queries()["distribution_across_suppliers"](spark, sf_dir))
     assert "percentile" not in text and "ObjectHashAggregate" not in text

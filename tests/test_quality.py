@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import quality as g
+from tideline.operators.series import daily_series
 from tideline.operators.variation import lag_variation, rolling_weekday_baseline
 
 CALENDAR = "start_day date, end_day date, kind string, source string"
@@ -134,3 +135,18 @@ def test_a_repeated_day_does_not_hide_a_gap(spark):
     found = g.gap_report(df).first()
     assert (found.rows, found.days_in_span, found.series_with_gaps, found.contiguous) == (3, 3, 1, False)
     assert g.series_report(df).first().series_with_gaps == 1
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_gaps_of_a_roll_up_need_no_second_fold(spark, keys):
+    """Rows repeat, days are missing or NULL, and one key is NULL."""
+    days = {"a": (1, 1, 2, 3), "b": (1, 3, 3, 3), "c": (4, None, None), "d": (None,), None: (1, 2, 5)}
+    facts = [(k, d and date(2024, 1, d)) for k, each in days.items() for d in each]
+    df = spark.createDataFrame(facts, "k string, at date")
+    for source in (df, df.limit(0)):
+        daily = daily_series(source, "at", {"n": F.count(F.lit(1))}, keys)
+        once, again = (g.gap_report(daily, keys=keys, folded=x).first() for x in (True, False))
+        assert once == again
+        if source is df:
+            wanted = (5, 11, 12, 2, False) if keys else (1, 6, 5, 0, True)
+            assert tuple(once) == wanted

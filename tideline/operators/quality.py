@@ -56,14 +56,23 @@ def key_report(df: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def gap_report(df: DataFrame, day: str = "day", keys: Sequence[str] = ()) -> DataFrame:
+def gap_report(
+    df: DataFrame, day: str = "day", keys: Sequence[str] = (), folded: bool = False
+) -> DataFrame:
     """Is every series contiguous?  Totals over all series, one row.
 
     Distinct days are compared with the span, so a repeated day cannot hide a gap.
+    ``folded`` says that rows are one per (keys, day) already, as ``daily_series`` gives
+    them. Folding those again changes nothing, but a task would hold all its (keys, day)
+    groups three times: as the roll-up leaves them and on both sides of the second fold.
     """
-    per_day = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
+    if folded:
+        per_day, rows = df, F.count(F.lit(1))
+    else:
+        per_day = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
+        rows = F.sum("_n")
     per_series = per_day.groupBy(*keys).agg(
-        F.sum("_n").alias("_n"),
+        rows.alias("_n"),
         F.count(day).alias("_days"),
         F.min(day).alias("_first"),
         F.max(day).alias("_last"),

@@ -59,13 +59,13 @@ def _gaps_sql(source: str, keys: str = "") -> str:
 
 @query(_gaps_sql(q.sales()))
 def gate_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.gap_report(sales(spark, sf_dir))
+    return quality.gap_report(sales(spark, sf_dir), folded=True)
 
 
 @query(_gaps_sql(q.shipments(["l_suppkey"]), "GROUP BY l_suppkey"))
 def gate_gaps_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_suppkey"]
-    return quality.gap_report(shipments(spark, sf_dir, keys), keys=keys)
+    return quality.gap_report(shipments(spark, sf_dir, keys), keys=keys, folded=True)
 
 
 @query(
